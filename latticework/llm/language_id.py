@@ -106,7 +106,8 @@ class Scorer:
         words = WORD.findall((text or "").lower())
         if not words or not self.model.langs:
             return "und", 0.0
-        s = self.model.prior + np.bincount(self.rows(words), minlength=len(self.row)) @ self.matrix[: len(self.row)] if len(words) > len(self.row) else self.model.prior + self.matrix[self.rows(words)].sum(axis=0)
+        rows = self.rows(words)
+        s = self.model.prior + self.matrix[rows].sum(axis=0)
         best = int(s.argmax())
         return self.model.langs[best], float(1 / np.exp(s - s[best]).sum())
 
