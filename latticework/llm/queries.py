@@ -20,7 +20,7 @@ def word_tokenizer() -> str:
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return licence_scan.scan(docs, *licence_scan.train(docs))
+    return licence_scan.scan(docs, licence_scan.train(docs))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
