@@ -23,11 +23,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders of the tables that ``written`` has made, in order.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
