@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from latticework.functions.durable import written
 
+#: A-Z in lower case; blanks for tabs and line ends.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\n\r\t" else c for c in range(256))
+#: Punctuation that may follow a word.
+CLOSING = ".,;:!?%$*&#|"
 #: Distinct words that a tokenizing task remembers before it starts anew.
 REMEMBERED = 300_000
 
@@ -20,8 +24,10 @@ REMEMBERED = 300_000
 class WordEncoder:
     """Token ids of whole texts, white-space-free chunk by chunk.
 
-    The tokenizer drops white space before it looks at anything else, so a text's ids are those of
-    its chunks in order; only chunks not seen before are given to the tokenizer.
+    The tokenizer lower-cases, drops white space before it looks at anything else, and parts letters from
+    punctuation; so a text's ids are those of its chunks in order, and a chunk of letters and closing
+    punctuation has the ids of the two. Only what wasn't seen before is given to the tokenizer, words of letters joined to one
+    string, whose ids are parted at the tokens that end a word.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -30,35 +36,84 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids, the end id last."""
-        for c in "\n\t\r":
-            text = (text or "").replace(c, " ")
-        words, known = text.split(" "), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words]) + self.end
+        self.parts: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.parts[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        parts, known = self.parts, self.known
+        halves = [(w, core, w[len(core) :]) for w in chunks for core in (w.rstrip(CLOSING),)]
+        plain = [x for x in halves if x[1].isalpha()]
+        new = list({c for _, c, _ in plain if c not in parts})
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+            if len(cut) == len(new) + 1:
+                raw = ids.tobytes()
+                parts.update(zip(new, map(raw.__getitem__, map(slice, cut, cut[1:]))))
+            else:  # a letter that the tokenizer takes for something else
+                self.alone(new)
+        self.alone(list({t for _, _, t in plain if t and t not in parts} | {w for w, c, _ in halves if not c.isalpha() and w not in parts}))
+        for w, core, tail in halves:
+            known[w] = (parts[core] + parts[tail] if tail else parts[core]) if core.isalpha() else parts[w]
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Of each text the little-endian unsigned 32-bit ids, the end id last."""
+        split = [(t or b"").translate(FOLD).decode().split(" ") for t in texts]
+        every = {w for words in split for w in words}
+        new = [w for w in every if w not in self.known]
+        if new:
+            if len(self.known) + len(new) > REMEMBERED or len(self.parts) + len(new) > 2 * REMEMBERED:
+                new = list(every)
+                self.known.clear()
+            if len(self.parts) + len(new) > 2 * REMEMBERED:
+                self.parts.clear()
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in split]
+
+
+def encoder_of_worker(path: str, end_id: int) -> WordEncoder:
+    """The encoder that this Python process keeps for its later tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+    if (path, end_id) not in vars(kept):
+        vars(kept)[path, end_id] = WordEncoder(path, end_id)
+    return vars(kept)[path, end_id]
+
+
+def _some(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about ``size`` bytes."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or b"")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    yield part
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """``(uid, doc_id, n_tokens, crcs)`` for each row; crcs has the CRC-32 of each piece of ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = encoder_of_worker(tokenizer, end_id)
         for b in batches:
             n, crcs = [], []
-            for text in b.column(2):
-                ids = encoder.ids(text.as_py())
-                n.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
+            for part in _some(b.column(2).to_pylist()):
+                for ids in encoder.ids(part):
+                    n.append(len(ids) // 4)
+                    crcs.append([zlib.crc32(ids[at : at + 4 * capacity]) for at in range(0, len(ids), 4 * capacity)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["uid", "doc_id", "n_tokens", "crcs"])
 
-    narrow = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return narrow.mapInArrow(run, "uid long, doc_id long, n_tokens long, crcs array<long>")
 
 

@@ -99,6 +99,7 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     left when both lie in one component already. Returns pairs (row, root row).
     """
     fp = fp.reshape(len(bucket), -1)
+    most = max(1, CHUNK // FANOUT**2 // fp.shape[1] ** 2)  # pairs of nodes at a time, fewer of long rows
     order = np.lexsort((gray_rank(fp[:, 0]), bucket))
     f, g = fp[order], bucket[order]
     n, lab = len(f), np.arange(len(f))
@@ -113,7 +114,7 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         cut = np.flatnonzero(within % FANOUT == 0)
         levels.append((np.r_[cut, m], np.bitwise_and.reduceat(low, cut, axis=0), np.bitwise_or.reduceat(high, cut, axis=0), np.r_[rows[cut], n], own[cut]))
     top = np.arange(len(levels[-1][4]))
-    stack = [(len(levels) - 1, top[at : at + CHUNK // 64], top[at : at + CHUNK // 64]) for at in range(0, len(top), CHUNK // 64)]
+    stack = [(len(levels) - 1, top[at : at + most], top[at : at + most]) for at in range(0, len(top), most)]
     while stack:
         level, a, b = stack.pop()
         _, low, high, rows, _ = levels[level]
@@ -137,8 +138,8 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         start = levels[level][0]
         far = np.argsort(-(b - a), kind="stable")  # close pairs come off the stack first
         a, b = a[far], b[far]
-        for at in range(0, len(a), CHUNK // 64):
-            pair = _children((a[at : at + CHUNK // 64], b[at : at + CHUNK // 64]), start)
+        for at in range(0, len(a), most):
+            pair = _children((a[at : at + most], b[at : at + most]), start)
             if level == 1:  # rows with themselves say nothing
                 other = pair[0] != pair[1]
                 pair = pair[0][other], pair[1][other]
