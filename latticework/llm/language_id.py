@@ -44,70 +44,65 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Backoff:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language: a row number for each token, and the rows as matrices."""
 
     def __init__(self, docs: dict[str, int], words: list[tuple], grams: list[tuple]):
         self.langs = sorted(docs)
-        at = {lang: i for i, lang in enumerate(self.langs)}
         total = sum(docs.values()) or 1
         self.prior = np.array([math.log(docs[x] / total) for x in self.langs])
-        self.words = self._table(words, at)
-        by_order: dict[int, list] = {n: [] for n in ORDERS}
-        for row in grams:
-            by_order[len(row[1])].append(row)
-        self.grams = {n: self._table(rows, at) for n, rows in by_order.items()}
-
-    def _table(self, rows: list[tuple], at: dict[str, int]) -> dict[str, np.ndarray]:
-        table: dict[str, np.ndarray] = {}
-        for lang, token, n in rows:
-            table.setdefault(token, np.zeros(len(at)))[at[lang]] = n
-        if not table:
-            return table
-        mass = np.sum(list(table.values()), axis=0) + 0.5 * len(table)
-        return {t: np.log((v + 0.5) / mass) for t, v in table.items()}
-
-    def word(self, w: str) -> np.ndarray:
-        """The word's own frequencies; of an unseen one, the mean of its longest known n-grams."""
-        if (own := self.words.get(w)) is not None:
-            return own
-        marked = f"_{w}_"
+        self.words, self.word_rows = self._table(words)
+        self.grams: dict[str, int] = {}
+        rows = [np.zeros((0, len(self.langs)))]
         for n in ORDERS:
-            table = self.grams[n]
-            known = [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i : i + n])) is not None]
+            own, matrix = self._table([g for g in grams if len(g[1]) == n])
+            first = len(self.grams)
+            self.grams.update((token, first + at) for token, at in own.items())
+            rows.append(matrix)
+        self.gram_rows = np.concatenate(rows)
+
+    def _table(self, rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
+        lang = {x: i for i, x in enumerate(self.langs)}
+        tokens: dict[str, int] = {}
+        at = [tokens.setdefault(r[1], len(tokens)) for r in rows]
+        counts = np.zeros((len(tokens), len(lang)))
+        counts[at, [lang[r[0]] for r in rows]] = [r[2] for r in rows]
+        return tokens, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(tokens))) if rows else counts
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean of the word's longest known n-grams."""
+        marked = f"_{word}_"
+        for n in ORDERS:
+            known = [at for i in range(len(marked) - n + 1) if (at := self.grams.get(marked[i : i + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_rows[known].sum(axis=0) / len(known)
         return np.zeros(len(self.langs))
 
 
 class Scorer:
-    """Scores texts; remembers words in one matrix that starts anew when it is full."""
+    """Scores texts; remembers unseen words up to a number, then starts anew."""
 
-    def __init__(self, model: Backoff, remembered: int = 200_000):
+    def __init__(self, model: Backoff, remembered: int = 50_000):
         self.model, self.limit = model, remembered
-        self.row: dict[str, int] = {}
-        self.matrix = np.empty((1024, len(model.langs)))
-
-    def rows(self, words: list[str]) -> list[int]:
-        row = self.row
-        new = [w for w in set(words) if w not in row]
-        if len(row) + len(new) > max(self.limit, len(new)):
-            row.clear()
-            new = list(set(words))
-        if len(row) + len(new) > len(self.matrix):
-            grown = np.empty((2 * (len(row) + len(new)), self.matrix.shape[1]))
-            grown[: len(row)] = self.matrix[: len(row)]
-            self.matrix = grown
-        for w in new:
-            self.matrix[len(row)] = self.model.word(w)
-            row[w] = len(row)
-        return [row[w] for w in words]
+        self.kept: dict[str, np.ndarray] = {}
+
+    def unseen(self, word: str) -> np.ndarray:
+        if (row := self.kept.get(word)) is None:
+            if len(self.kept) >= self.limit:
+                self.kept.clear()
+            row = self.kept[word] = self.model.unseen(word)
+        return row
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())
-        if not words or not self.model.langs:
+        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in words):  # a run of digits such as superscripts has no letter
             return "und", 0.0
-        rows = self.rows(words)
-        s = self.model.prior + self.matrix[rows].sum(axis=0)
+        at = list(map(self.model.words.get, words))
+        s = self.model.prior
+        if None in at:
+            s = s + np.sum([self.unseen(w) for w, i in zip(words, at) if i is None], axis=0)
+            at = [i for i in at if i is not None]
+        if at:
+            s = s + self.model.word_rows[at].sum(axis=0)
         best = int(s.argmax())
         return self.model.langs[best], float(1 / np.exp(s - s[best]).sum())
 
@@ -124,7 +119,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = spark.createDataFrame([(k, int(1_000_000 * min(1.0, sample_docs / n))) for k, n in total.items()] or [("", 0)], "lang string, below int")
     sample = known.join(F.broadcast(share), "lang").where("draw < below").select("lang", "text")
     words = word_counts(sample).persist()
-    top = lambda df, n: [tuple(r) for r in df.orderBy(F.desc("n"), "token", "lang").limit(n).collect()]
+    top = lambda df, n: list(zip(*(c.to_pylist() for c in df.orderBy(F.desc("n"), "token", "lang").limit(n).select("lang", "token", "n").toArrow().columns)))
     marked = F.concat(F.lit("_"), "token", F.lit("_"))
     of = lambda n: lambda i: F.substring(marked, i, F.lit(n))
     pieces = F.flatten(F.array(*[F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), of(n))).otherwise(F.array().cast("array<string>")) for n in ORDERS]))
@@ -142,7 +137,7 @@ def identify(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col:
     share of the posterior. Whole texts are read; repeated rows, null ids and other columns make no
     difference; empty in, empty out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # at most max_words + max_grams rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Backoff.__new__(Backoff)
