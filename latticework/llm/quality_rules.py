@@ -81,13 +81,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     Lines are folded and hashed. For each host, the distinct documents that hold a line are counted (copies
     of one text once). A line in more than ``line_docs`` documents and in more than ``line_share`` of the host's
-    documents is removed everywhere but in the document with the host's least ``doc_id`` that has it. A document that fails a
+    distinct documents is removed everywhere but in the document with the host's least ``doc_id`` that has it. A document that fails a
     base rule, or loses more than ``max_removed`` of its words, is not kept. Null and wordless texts have zero
     counts and fail; null hosts are one host; repeated rows are judged alike; rows with a null doc_id are never a line's first
     place; other columns are ignored; empty in, empty out.
     """
     docs = written(counted(docs, id_col, text_col, host_col))
-    sizes = docs.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    sizes = docs.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     lines = docs.select("uid", "doc_id", "host", "whole", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     lines = lines.select("uid", "doc_id", "host", "whole", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
     holders = lines.groupBy("host", "line", "whole").agg(F.min("doc_id").alias("first"))

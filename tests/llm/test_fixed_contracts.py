@@ -137,6 +137,16 @@ def test_line_limits(spark):
     assert kept == {r[0] for r in rows} - set(range(1001, 1040))
 
 
+def test_line_share_does_not_depend_on_copies(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    boiler = "\n".join(" ".join(f"menu{k}item{j}" for j in range(10)) for k in range(10))
+    rows = [(i, own(i), "a") for i in range(60)]
+    rows += [(1000 + i, boiler + f"\nonly {i} here", "a") for i in range(40)]
+    rows += [(2000 + i, own("copy"), "a") for i in range(1000)]
+    kept = {r["doc_id"] for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - set(range(1001, 1040))
+
+
 def brute_hits(text, items):
     fold = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
     w = fold(text)
