@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import checkpointed
+from latticework.functions.hubs import with_hubs_apart
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    """Every neighbour above ``u`` is tied to the least of ``u`` and its neighbours."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return with_hubs_apart(both, least, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    """``u`` and every neighbour below it are tied to the least of these."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = with_hubs_apart(e, least, "u", "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _ordered(e: DataFrame) -> DataFrame:
+    return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _state(e: DataFrame) -> tuple:
     row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -31,13 +37,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Self-loops, repeated edges and null ends are ignored; an empty table gives an empty result. Each
     round contracts all nodes towards their least neighbour, so the number of rounds grows with the
-    logarithm of the longest path; only counts and one checksum reach the driver.
+    logarithm of the longest path; only counts and one checksum reach the driver. Nodes with a large share of the edges (the
+    root of a large component has all its nodes as neighbours) are joined by a broadcast of a bounded number of them.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpointed(_ordered(e))
     before = _state(e)
     while before[0]:
-        e = checkpointed(_small_star(_large_star(e).distinct()).where("u <> v").distinct())
+        large = checkpointed(_ordered(_large_star(e, before[0])))
+        e = checkpointed(_ordered(_small_star(large, before[0])))
         after = _state(e)
         if after == before:
             break
