@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from latticework.llm.spans import merged, replaced
 #: A-Z in lower case, other ASCII that is no letter or digit as a blank, the rest as it is.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: At most so many bytes of items are broadcast at once; more are worked off in slices.
+#: At most so many bytes of items are broadcast at once; more are worked off in slices. A byte of items takes about ten in a worker's index.
 SLICE_BYTES = 32 << 20
 
 SPANS = "array<struct<start:int,end:int,first:int,last:int>>"
@@ -28,22 +29,34 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of a set of items, by length in words."""
+    """The windows of a set of items, by length in words.
+
+    All items' word ids lie in one array; a window is a hash, the place where it begins and the number of its item,
+    in arrays sorted by hash: some 20 bytes a window.
+    """
 
     def __init__(self, items: list[tuple], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            words = words_of(text)
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                window = ids[at : at + width]
-                found.setdefault(len(window), {}).setdefault(window, set()).add(item)
-        self.by_length = {n: (np.sort(self.rolled(np.array(list(w), dtype=np.uint64).ravel(), n)[::n]), w) for n, w in found.items()}
+        self.items = np.array([item for item, _ in items], np.int64)
+        known = self.vocabulary
+        each = [np.array([known.setdefault(w, len(known) + 1) for w in words_of(text)], np.uint32) for _, text in items]
+        self.ids = np.concatenate([*each, np.empty(0, np.uint32)])
+        starts = np.cumsum([0, *map(len, each)])
+        parts: dict[int, list] = {}
+        for i, own in enumerate(each):
+            if n := min(width, len(own)):
+                at = np.arange(len(own) - n + 1)
+                parts.setdefault(n, []).append((self.rolled(own, n), starts[i] + at, np.full(len(at), i)))
+        self.by_length = {}
+        for n, found in parts.items():
+            h, at, item = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(h, kind="stable")
+            self.by_length[n] = h[order], at[order].astype(np.uint32), item[order].astype(np.uint32)
 
     @staticmethod
     def rolled(ids: np.ndarray, n: int) -> np.ndarray:
         """A hash of each window of ``n`` ids."""
+        ids = ids.astype(np.uint64)
         h = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
         for k in range(n):
             h = (h ^ ids[k : k + len(h)]) * MIX
@@ -53,21 +66,22 @@ class WindowIndex:
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans of words inside occurring windows, and the items they belong to."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
+        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint32, count=len(words))
         spans, items = [], set()
-        for n, (hashes, windows) in self.by_length.items():
+        gaps = np.r_[0, np.cumsum(ids == 0)]
+        for n, (hashes, places, owners) in self.by_length.items():
             if len(ids) < n:
                 continue
-            gaps = np.r_[0, np.cumsum(ids == 0)]
             full = np.flatnonzero(gaps[n:] == gaps[:-n])  # windows without a word that no item has
             if not len(full):
                 continue
             h = self.rolled(ids, n)[full]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for at in full[hashes[place] == h].tolist():
-                if owners := windows.get(tuple(ids[at : at + n].tolist())):
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for at, a, b in zip(full[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+                same = (self.ids[places[a:b, None] + np.arange(n, dtype=np.uint32)] == ids[at : at + n]).all(axis=1)  # equal hashes may be of other words
+                if same.any():
                     spans.append((at, at + n))
-                    items |= owners
+                    items.update(self.items[owners[a:b][same]].tolist())
         merged: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -77,6 +91,18 @@ class WindowIndex:
         return merged, items
 
 
+def index_of_worker(key: str, items: list[tuple], width: int) -> WindowIndex:
+    """The index that this Python process keeps for its later tasks, one at a time."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_window_index", types.ModuleType("_window_index"))
+    if getattr(kept, "key", None) != key:
+        kept.index, kept.key = None, None
+        kept.index, kept.key = WindowIndex(items, width), key
+    return kept.index
+
+
 def places(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     """The word spans with the code points where they begin and end."""
     if not spans:
@@ -92,11 +118,11 @@ def places(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
 
 
 def _scan(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     pair = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "first", "last")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = WindowIndex(shared.value, width)
+        index = index_of_worker(key, shared.value, width)
         for b in batches:
             n, spans, found = [], [], []
             for text in b.column(0):

@@ -14,13 +14,17 @@ KINDS = [
     ("assign", ASSIGN, "secret", True),
     ("access", r"AKIA[A-Z0-9]{12,}", "identifier", True),
     ("hex", r"[0-9a-f]{32,}", "secret", True),
-    ("user", r"""(?i)\b(?:user(?:name|_id)?|login|client_?id|account_?id|tenant_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,64}""", "identifier", False),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{20,}", "secret", False),
+    ("user", r"""(?i)\b(?:user(?:name|_id)?|login|client_?id|account_?id|tenant_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", "identifier", False),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}", "secret", False),
     ("endpoint", r"""(?i)\b(?:https?|ssh|s?ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}""", "endpoint", False),
 ]
 MATCH = "struct<kind:int,nth:int,gap:int,len:int,ok:boolean>"
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    return name if name.lower() not in {t.lower() for t in taken} else _fresh(f"_{name}", taken)
+
+
 def _pieces(text: Column, number: int, pattern: str) -> Column:
     """Of each match: the characters since the match before, and its own; in order."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -71,15 +75,17 @@ def digest(found: Column, kinds: int) -> Column:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[REDACTED]", scope: int = 200) -> DataFrame:
-    """The rows of ``docs`` with every reported span of the text replaced by ``mask``; overlapping spans are one."""
-    own = "_row"
-    while own in docs.columns:
-        own += "_"
+    """The rows of ``docs`` with every reported span of the text replaced by ``mask``; overlapping spans are one.
+
+    Null and empty texts stay as they are; repeated rows and rows without an id are masked one by one; other columns,
+    whatever their names, are kept; empty in, empty out.
+    """
+    own, found = _fresh("_row", docs.columns), _fresh("_found", docs.columns)
     docs = written(docs.withColumn(own, F.monotonically_increasing_id()))
     hits = spans(docs.select(F.col(own).alias("doc_id"), F.col(text_col).alias("text")), scope=scope)
     # confirmed weak spans carry no doc_id of their own; their uid's other rows have it
-    rows = hits.groupBy("uid").agg(F.max("doc_id").alias(own), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "end")))).alias("_found")).where("size(_found) > 0").drop("uid")
-    rows = rows.withColumn("_found", merged("_found", [("start", "end")]))
-    new = replaced(F.col(text_col), "_found", "start", "end", mask)
+    rows = hits.groupBy("uid").agg(F.max("doc_id").alias(own), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "end")))).alias(found)).where(F.size(found) > 0).drop("uid")
+    rows = rows.withColumn(found, merged(found, [("start", "end")]))
+    new = replaced(F.col(text_col), found, "start", "end", mask)
     out = docs.join(rows, own, "left")
     return out.select(*[(new if c == text_col else F.col(c)).alias(c) for c in docs.columns if c != own])

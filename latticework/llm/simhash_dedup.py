@@ -65,13 +65,21 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after the pairs (i, j) were joined; a label is the least place of its component."""
+def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray, took: list | None = None) -> np.ndarray:
+    """Labels after the pairs (i, j) were joined; a label is the least place of its component.
+
+    To ``took`` goes a pair for each component that was joined to another: together a spanning forest.
+    """
     while True:
         a, b = lab[i], lab[j]
         if (open_ := a != b).any():
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
-            np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(lab, high, low)
+            if took is not None:
+                done = np.flatnonzero(lab[high] == low)
+                one = done[np.unique(high[done], return_index=True)[1]]
+                took.append((i[one], j[one]))
             while (nxt := lab[lab]).tobytes() != lab.tobytes():
                 lab = nxt
         else:
@@ -90,13 +98,14 @@ def _children(pairs: tuple[np.ndarray, np.ndarray], start: np.ndarray) -> tuple[
     return i[keep], j[keep]
 
 
-def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the fingerprints that are joined, within their bucket, by steps of up to ``radius`` bits.
+def gray_links(bucket: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the fingerprints that are joined, within their bucket, by steps of up to ``radii[-1]`` bits.
 
     ``bucket`` numbers the rows' buckets; ``fp`` has one or more 64-bit words a row. Rows are sorted by Gray rank in each bucket, and consecutive
     ones form nodes that hold the bits on which they agree. A pair of nodes is left when those bits
     already differ in more than ``radius`` places, joined whole when all free bits can't exceed it, and
-    left when both lie in one component already. Returns pairs (row, root row).
+    left when both lie in one component already. The smaller of several ``radii`` are worked off first, so that the links
+    are about those of a least spanning forest. Returns pairs of rows that differ in no more bits than the radius they were joined at.
     """
     fp = fp.reshape(len(bucket), -1)
     most = max(1, CHUNK // FANOUT**2 // fp.shape[1] ** 2)  # pairs of nodes at a time, fewer of long rows
@@ -113,6 +122,16 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         within = np.arange(m) - np.repeat(first, np.diff(np.r_[first, m]))
         cut = np.flatnonzero(within % FANOUT == 0)
         levels.append((np.r_[cut, m], np.bitwise_and.reduceat(low, cut, axis=0), np.bitwise_or.reduceat(high, cut, axis=0), np.r_[rows[cut], n], own[cut]))
+    took: list[tuple[np.ndarray, np.ndarray]] = []
+    for radius in radii:
+        lab = _joined(levels, lab, radius, most, took)
+    if not took:
+        return np.array([], int), np.array([], int)
+    return tuple(order[np.concatenate(side)] for side in zip(*took))
+
+
+def _joined(levels: list[tuple], lab: np.ndarray, radius: int, most: int, took: list) -> np.ndarray:
+    """Labels after all pairs of rows within ``radius`` below the top nodes were joined."""
     top = np.arange(len(levels[-1][4]))
     stack = [(len(levels) - 1, top[at : at + most], top[at : at + most]) for at in range(0, len(top), most)]
     while stack:
@@ -124,7 +143,7 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         near = apart <= radius
         a, b, known, apart = a[near], b[near], known[near], apart[near]
         if level == 0:
-            lab = _merge(lab, a, b)
+            lab = _merge(lab, a, b, took)
             continue
         one = np.minimum.reduceat(lab, rows[:-1]), np.maximum.reduceat(lab, rows[:-1])
         open_ = ~((one[0][a] == one[1][a]) & (one[0][b] == one[1][b]) & (one[0][a] == one[0][b]))
@@ -133,7 +152,7 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
         for node in (a[whole], b[whole]):  # every row of both nodes is near every other
             held = rows[node + 1] - rows[node]
             each = np.repeat(rows[node] - np.cumsum(held) + held, held) + np.arange(held.sum())
-            lab = _merge(lab, np.repeat(rows[a[whole]], held), each)
+            lab = _merge(lab, np.repeat(rows[a[whole]], held), each, took)
         a, b = a[~whole], b[~whole]
         start = levels[level][0]
         far = np.argsort(-(b - a), kind="stable")  # close pairs come off the stack first
@@ -145,20 +164,23 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
                 pair = pair[0][other], pair[1][other]
             if len(pair[0]):
                 stack.append((level - 1, *pair))
-    moved = np.flatnonzero(lab != np.arange(n))
-    return order[moved], order[lab[moved]]
+    return lab
+
 
+def _bucket_links(radii: list[int], rows_held: int):
+    """Reads ``(k1, k2, id, sig)`` sorted by bucket (k1, k2); works on whole buckets, about ``rows_held`` rows at a time.
 
-def _bucket_links(radius: int, rows_held: int):
-    """Reads ``(k1, k2, id, sig)`` sorted by bucket (k1, k2); works on whole buckets, about ``rows_held`` rows at a time."""
+    Gives the links ``(src, dst, bits)`` with the number of bits in which the two differ.
+    """
 
     def work(keys: np.ndarray, ids: np.ndarray, sigs: list[bytes]) -> pa.RecordBatch:
         number = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.array([], int)
+        i = j = bits = np.array([], int)
         if len(keys):
-            i, root = gray_links(number, np.frombuffer(b"".join(sigs), dtype="<u8"), radius)
-        else:
-            i = root = np.array([], int)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root])], ["src", "dst"])
+            fp = np.frombuffer(b"".join(sigs), dtype="<u8").reshape(len(keys), -1)
+            i, j = gray_links(number, fp, radii)
+            bits = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(bits, pa.int32())], ["src", "dst", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sigs = np.empty((0, 2), np.int64), np.empty(0, np.int64), []
@@ -214,7 +236,7 @@ def linked_fingerprints(fps: DataFrame, radius: int = 3, bucket_rows: int = 50_0
     for p in parts:
         plain = plain.unionByName(p)
     plain = plain.select("k1", "k2", F.col("fp").alias("id"), F.unhex(F.expr("regexp_replace(lpad(hex(fp), 16, '0'), '(..)(..)(..)(..)(..)(..)(..)(..)', '$8$7$6$5$4$3$2$1')")).alias("sig"))
-    links = plain.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_bucket_links(radius, rows_held), "src long, dst long")
+    links = plain.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_bucket_links([radius], rows_held), "src long, dst long, bits int")
     return connected_components(links)
 
 
@@ -237,30 +259,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.join(to, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 32, rows_held: int = 100_000) -> DataFrame:
+def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct ``k``-word shingles of ``text`` as sorted hashes; fewer words are one shingle, none are none."""
+    import xxhash
+
+    own = (text or b"").translate(LOWER).split()
+    shingles = set(map(b" ".join, zip(*(own[i:] for i in range(k))))) if len(own) >= k else {b" ".join(own)} if own else set()
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles)))
+
+
+def _truly_similar(k: int, similarity: float):
+    """Reads ``(src, dst, a, b)``, b being the texts; gives the links whose shingle sets have that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = shingle_hashes(a.as_py(), k), shingle_hashes(b.as_py(), k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["src", "dst"])
+
+    return run
+
+
+def bands_of(sigs: DataFrame, bands: int, bucket_rows: int) -> DataFrame:
+    """``(k1, k2, id, sig)``: each signature of ``bands`` bytes under the two-byte bands that it is compared in.
+
+    Band b has the bytes b and b + 1, round the end. A band value of more than ``bucket_rows`` signatures (or a
+    10,000th of all, so that the broadcast list of such values has at most 10,000 a band) is split: its signatures are compared where they agree in
+    one of the next ``bands // 2`` bands as well, which is so for all that agree in any two bands.
+    """
+    twice = F.concat("sig", F.substring("sig", 1, 1))
+    value = lambda b: F.conv(F.hex(F.substring(twice, b + 1, F.lit(2))), 16, 10).cast("int")
+    number = F.array(*[value(F.lit(b)) for b in range(bands)])
+    keyed = sigs.select("id", "sig", number.alias("all")).select("id", "sig", "all", F.posexplode("all").alias("band", "value"))
+    limit = max(bucket_rows, sigs.count() // 10_000)
+    hot = checkpointed(keyed.groupBy("band", "value").count().where(F.col("count") > limit).select("band", "value", F.lit(True).alias("hot")))
+    k1 = (F.col("band") * (1 << 16) + F.col("value")).cast("long")
+    if not hot.take(1):
+        return keyed.select(k1.alias("k1"), F.lit(-1).cast("long").alias("k2"), "id", "sig")
+    keyed = keyed.join(F.broadcast(hot), ["band", "value"], "left")
+    other = F.transform(F.sequence(F.lit(1), F.lit(bands // 2)), lambda d: (d * (1 << 16) + F.get("all", (F.col("band") + d) % bands)).cast("long"))
+    second = F.when(F.col("hot"), other).otherwise(F.array(F.lit(-1).cast("long")))
+    return keyed.select(k1.alias("k1"), F.explode(second).alias("k2"), "id", "sig")
+
+
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 64, bucket_rows: int = 50_000, rows_held: int = 100_000) -> DataFrame:
     """``(doc_id)``: the least id of each group of documents that steps of Jaccard ``similarity`` or more link.
 
-    Signatures have 16 bits for each of ``bands`` bands. Two documents of Jaccard similarity s, so of cosine
-    2s / (1 + s), differ in a bit with probability acos(2s / (1 + s)) / pi; they are compared where a band agrees whole (at 0.8
-    and 32 bands for nine pairs in ten, at 0.9 for 997 of 1000), by the index of their bucket, and
-    linked when no more bits differ than expected at ``similarity``. Ids are distinct; null and wordless texts are one group.
+    Signatures have a byte for each of ``bands`` bands of two bytes that overlap. Two documents of Jaccard similarity s, so of cosine
+    2s / (1 + s), differ in a bit with probability acos(2s / (1 + s)) / pi; they are compared, by the index of their bucket, where a band
+    agrees whole (at 0.8 for 98 pairs in 100), and taken up when they differ in up to the number of bits expected at ``similarity`` and two and a half standard
+    deviations. Links of the buckets' spanning forests, nearest first, that are at least three deviations below the expected number count as they are; of the
+    others those count whose shingle sets have the similarity, worked out from the whole texts.
+    Rows of equal text are one group, null and wordless texts too. Rows of one id are one document that goes or stays as its texts
+    go or stay; rows with a null id are left out; other columns are ignored; empty in, empty out.
     """
-    from math import acos, pi
+    from math import acos, pi, sqrt
 
-    bits = 16 * bands
-    radius = int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+    bits, p = 8 * bands, acos(2 * similarity / (1 + similarity)) / pi
+    spread = sqrt(bits * p * (1 - p))
+    sure, most = int(bits * p - 3 * spread), int(bits * p + 2.5 * spread)
+    radii = [max(0, sure * step // 2) for step in (1, 2)] + [int(bits * p), most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs = [signature(t.as_py(), k, bits // 64).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["doc_id", "sig"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sigs = written(narrow.mapInArrow(run, "doc_id long, sig binary"))
-    groups = written(sigs.groupBy("sig").agg(F.min("doc_id").alias("id")))
-    band = F.col("band")
-    keyed = groups.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    keyed = keyed.select((band * (1 << 16) + F.conv(F.hex(F.substring("sig", band * 2 + 1, F.lit(2))), 16, 10).cast("long")).alias("k1"), F.lit(0).cast("long").alias("k2"), "id", "sig")
-    links = keyed.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_bucket_links(radius, rows_held), "src long, dst long")
-    later = connected_components(links).where("node <> component").select(F.col("node").alias("id"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    groups = written(narrow.mapInArrow(run, "doc_id long, sig binary").groupBy("sig").agg(F.min("doc_id").alias("id")))
+    keyed = bands_of(groups, bands, bucket_rows).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    links = keyed.mapInArrow(_bucket_links(radii, rows_held), "src long, dst long, bits int")
+    links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").distinct())
+    near = connected_components(links.where(F.col("bits") <= sure))
+    near = near.withColumnRenamed("component", "c")
+    known = links.where(F.col("bits") > sure).join(near.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src", "left").join(near.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst", "left")
+    doubtful = written(known.where("c1 is null or c2 is null or c1 <> c2").select("src", "dst"))
+    ids = doubtful.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    texts = narrow.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    pairs = doubtful.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+    checked = pairs.mapInArrow(_truly_similar(k, similarity), "src long, dst long")
+    later = connected_components(links.where(F.col("bits") <= sure).select("src", "dst").unionByName(checked)).where("node <> component").select(F.col("node").alias("id"))
     return groups.select("id").join(later, "id", "left_anti").select(F.col("id").alias("doc_id"))
