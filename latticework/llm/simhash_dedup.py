@@ -108,7 +108,7 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np
     are about those of a least spanning forest. Returns pairs of rows that differ in no more bits than the radius they were joined at.
     """
     fp = fp.reshape(len(bucket), -1)
-    most = max(1, CHUNK // FANOUT**2 // fp.shape[1] ** 2)  # pairs of nodes at a time, fewer of long rows
+    most = max(1, 2 * CHUNK // FANOUT**2 // fp.shape[1])  # pairs of nodes at a time, fewer of long rows
     order = np.lexsort((gray_rank(fp[:, 0]), bucket))
     f, g = fp[order], bucket[order]
     n, lab = len(f), np.arange(len(f))
@@ -123,15 +123,15 @@ def gray_links(bucket: np.ndarray, fp: np.ndarray, radii: list[int]) -> tuple[np
         cut = np.flatnonzero(within % FANOUT == 0)
         levels.append((np.r_[cut, m], np.bitwise_and.reduceat(low, cut, axis=0), np.bitwise_or.reduceat(high, cut, axis=0), np.r_[rows[cut], n], own[cut]))
     took: list[tuple[np.ndarray, np.ndarray]] = []
-    for radius in radii:
-        lab = _joined(levels, lab, radius, most, took)
+    for least, radius in zip([0, *radii], radii):
+        lab = _joined(levels, lab, least, radius, most, took)
     if not took:
         return np.array([], int), np.array([], int)
     return tuple(order[np.concatenate(side)] for side in zip(*took))
 
 
-def _joined(levels: list[tuple], lab: np.ndarray, radius: int, most: int, took: list) -> np.ndarray:
-    """Labels after all pairs of rows within ``radius`` below the top nodes were joined."""
+def _joined(levels: list[tuple], lab: np.ndarray, least: int, radius: int, most: int, took: list) -> np.ndarray:
+    """Labels after all pairs of rows within ``radius`` below the top nodes were joined; of those that are looked at together the nearest first, in steps from ``least`` on."""
     top = np.arange(len(levels[-1][4]))
     stack = [(len(levels) - 1, top[at : at + most], top[at : at + most]) for at in range(0, len(top), most)]
     while stack:
@@ -143,6 +143,8 @@ def _joined(levels: list[tuple], lab: np.ndarray, radius: int, most: int, took:
         near = apart <= radius
         a, b, known, apart = a[near], b[near], known[near], apart[near]
         if level == 0:
+            for near in range(least, radius + 1, max(1, -(-(radius - least) // 4))) if least else (radius,):
+                lab = _merge(lab, a[apart <= near], b[apart <= near], took)
             lab = _merge(lab, a, b, took)
             continue
         one = np.minimum.reduceat(lab, rows[:-1]), np.maximum.reduceat(lab, rows[:-1])
@@ -305,7 +307,7 @@ def bands_of(sigs: DataFrame, bands: int, bucket_rows: int) -> DataFrame:
     return keyed.select(k1.alias("k1"), F.explode(second).alias("k2"), "id", "sig")
 
 
-def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 64, bucket_rows: int = 50_000, rows_held: int = 100_000) -> DataFrame:
+def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, bands: int = 64, bucket_rows: int = 50_000, rows_held: int = 20_000) -> DataFrame:
     """``(doc_id)``: the least id of each group of documents that steps of Jaccard ``similarity`` or more link.
 
     Signatures have a byte for each of ``bands`` bands of two bytes that overlap. Two documents of Jaccard similarity s, so of cosine
@@ -321,7 +323,7 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits, p = 8 * bands, acos(2 * similarity / (1 + similarity)) / pi
     spread = sqrt(bits * p * (1 - p))
     sure, most = int(bits * p - 3 * spread), int(bits * p + 2.5 * spread)
-    radii = [max(0, sure * step // 2) for step in (1, 2)] + [int(bits * p), most]
+    radii = [max(0, sure), most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
