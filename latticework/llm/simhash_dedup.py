@@ -335,10 +335,7 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = bands_of(groups, bands, bucket_rows).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
     links = keyed.mapInArrow(_bucket_links(radii, rows_held), "src long, dst long, bits int")
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").distinct())
-    near = connected_components(links.where(F.col("bits") <= sure))
-    near = near.withColumnRenamed("component", "c")
-    known = links.where(F.col("bits") > sure).join(near.select(F.col("node").alias("src"), F.col("c").alias("c1")), "src", "left").join(near.select(F.col("node").alias("dst"), F.col("c").alias("c2")), "dst", "left")
-    doubtful = written(known.where("c1 is null or c2 is null or c1 <> c2").select("src", "dst"))
+    doubtful = links.where(F.col("bits") > sure).select("src", "dst")
     ids = doubtful.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
     texts = narrow.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     pairs = doubtful.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
