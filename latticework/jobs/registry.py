@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from math import isqrt
+from math import exp, factorial, isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.jobs import series
 from latticework.jobs.statistics_sql import QUERIES as STATISTICS
 from latticework.operators import lattice, matching
 
@@ -103,17 +104,17 @@ def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = lattice.uniform(F.col("rep"), F.col("l_orderkey")) / F.lit(float(2**32))
     weight = sum((F.when(u >= c, 1).otherwise(0) for c in POISSON), F.lit(0))
     sums = rep.withColumn("w", weight).groupBy("rep", "o_orderstatus").agg(F.sum("w").alias("drawn"), F.sum(F.col("w") * F.col("n")).alias("total"))
-    return sums.select("rep", "o_orderstatus", "drawn", F.round(F.col("total") / F.col("drawn"), 9).alias("mean"))
+    return sums.select("rep", "o_orderstatus", "drawn", F.round(F.try_divide("total", "drawn"), 9).alias("mean"))
 
 
-#: Cumulated probabilities of 0 to 4 events at a rate of one.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+#: Cumulated probabilities of 0 to 12 events at a rate of one; more than 13 are rarer than a 32-bit number tells.
+POISSON = [sum(exp(-1.0) / factorial(j) for j in range(k + 1)) for k in range(13)]
 
 QUERIES = {
     "lattice_rules": lattice_rules, "checkerboard_counts": checkerboard_counts, "bond_energy": bond_energy, "coarse_field": coarse_field,
     "sublattice3_counts": sublattice3_counts, "cluster_sizes": cluster_sizes, "largest_cluster": largest_cluster, "mis_observables": mis_observables,
     "bootstrap_hash": bootstrap_hash,
-} | {name: _in_sql(text) for name, text in STATISTICS.items()}
+} | series.QUERIES | {name: _in_sql(text) for name, text in STATISTICS.items()}
 
 _HASH = "('0x' || substr(md5(cast({0} as varchar) || '-' || cast({1} as varchar)), 1, 8))::bigint"
 _SITES = f"""with size as (select cast(floor(floor(sqrt(count(*))) / 2) * 2 as bigint) as l, min(o_orderkey) as low from orders),
@@ -143,6 +144,6 @@ ORACLES = {
     "cluster_sizes": _CLUSTERS + " select sample_id, size, count(*) as n_clusters from sizes group by 1, 2",
     "largest_cluster": _CLUSTERS + """, d as (select max(size) / (select cast(l * l as double) from size) as d from sizes group by sample_id), m as (select count(*) as samples, avg(d) as m1, avg(d * d) as m2, avg(d * d * d * d) as m4 from d)
         select samples, round(m1, 9) as m1, round(m2, 9) as m2, round(m4, 9) as m4, round(case when m2 > 1e-15 then 1 - m4 / (3 * m2 * m2) else 0 end, 9) as binder from m""",
-    "bootstrap_hash": f"""select rep, o_orderstatus, sum(w) as drawn, round(sum(w * n) / sum(w), 9) as mean from (select rep, o_orderstatus, n, {_DRAWN} as w from (
+    "bootstrap_hash": f"""select rep, o_orderstatus, sum(w) as drawn, round(sum(w * n) / nullif(sum(w), 0), 9) as mean from (select rep, o_orderstatus, n, {_DRAWN} as w from (
         select r.rep, o_orderstatus, n, {_HASH.format('r.rep', 'l_orderkey')} / 4294967296.0 as u from (select l_orderkey, count(*) as n from lineitem group by 1) c join orders on o_orderkey = l_orderkey, (select unnest(range(20)) as rep) r) q) z group by 1, 2""",
-} | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}
+} | series.ORACLES | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}

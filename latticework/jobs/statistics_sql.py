@@ -6,11 +6,6 @@ from __future__ import annotations
 VALUES = "select l_returnflag as f, l_linestatus as t, l_orderkey as s, l_linenumber as k, (l_discount - 0.05) / 0.05 as m from {lineitem}"
 #: Thermal means by sample.
 THERMAL = f"select f, t, s, count(*) as n, avg(m) as m1, avg(abs(m)) as a1, avg(m * m) as m2, avg(m * m * m * m) as m4 from ({VALUES}) v group by f, t, s"
-#: The events of each user in order.
-STEPS = "select user_id as c, row_number() over (partition by user_id order by ts, event_id) as i, value as x from {events}"
-CENTRED = f"select c, i, x - avg(x) over (partition by c) as d, count(*) over (partition by c) as n from ({STEPS}) e"
-ACF = f"select a.c, b.i - a.i as lag, sum(a.d * b.d) / max(a.n) as g, max(a.n) as n from ({CENTRED}) a join ({CENTRED}) b on a.c = b.c and b.i >= a.i and b.i - a.i <= 8 group by a.c, b.i - a.i"
-NORMED = f"select c, lag, n, case when g0 < 1e-6 then case when lag = 0 then 1.0 else 0.0 end else g / g0 end as rho from (select c, lag, n, g, first_value(g) over (partition by c order by lag) as g0 from ({ACF}) q) r"
 #: Observable P of size L at density rho, by order month.
 GRID = "select c_nationkey as l, o_orderpriority as band, cast(floor(o_totalprice / 10000) as bigint) as rho_key, o_totalprice as p from {orders} join {customer} on o_custkey = c_custkey"
 POINTS = f"select l, rho_key, count(*) as n, avg(p) as p1, var_pop(p) as v from ({GRID}) g group by l, rho_key"
@@ -20,20 +15,10 @@ QUERIES = {
     "two_level_average": f"select f, t, count(*) as samples, round(avg(m1), 9) as dis_m, round(avg(a1), 9) as dis_abs, round(avg(m2), 9) as dis_m2, round(avg(m4), 9) as dis_m4, round(avg(m1 * m1), 9) as q_ea, round(avg(a1 * a1), 9) as dis_abs_sq, round(avg(m1 * m1 * m1 * m1), 9) as dis_m_p4 from ({THERMAL}) s group by f, t",
     "susceptibility": f"select f, t, round(avg(m2 - a1 * a1), 9) as chi_th, round(avg(a1 * a1) - avg(a1) * avg(a1), 9) as chi_dis, round(avg(m2) - avg(a1) * avg(a1), 9) as chi_tot from ({THERMAL}) s group by f, t",
     "binder": f"select f, t, round(case when x2 > 1e-15 then 1 - x4 / (3 * x2 * x2) else 0 end, 9) as u4, round(case when q > 1e-15 then 1 - q4 / (3 * q * q) else 0 end, 9) as u_ea from (select f, t, avg(m2) as x2, avg(m4) as x4, avg(m1 * m1) as q, avg(m1 * m1 * m1 * m1) as q4 from ({THERMAL}) s group by f, t) b",
-    "jackknife_chi": f"""select f, t, count(*) as n, round(sqrt(greatest(sum((th - mean) * (th - mean)), 0) * (max(n) - 1) / max(n)), 10) as sem from (
+    "jackknife_chi": f"""select f, t, count(*) as n, round(coalesce(sqrt(greatest(sum((th - mean) * (th - mean)), 0) * (max(n) - 1) / max(n)), 0), 10) as sem from (
         select f, t, n, th, avg(th) over (partition by f, t) as mean from (
-        select f, t, n, (s2 - m2) / (n - 1) - ((s1 - a1) / (n - 1)) * ((s1 - a1) / (n - 1)) as th from (
+        select f, t, n, (s2 - m2) / nullif(n - 1, 0) - ((s1 - a1) / nullif(n - 1, 0)) * ((s1 - a1) / nullif(n - 1, 0)) as th from (
         select s.f, s.t, a1, m2, n2 as n, s1, s2 from ({THERMAL}) s join (select f, t, count(*) as n2, sum(a1) as s1, sum(m2) as s2 from ({THERMAL}) q group by f, t) z on s.f = z.f and s.t = z.t) j) k) w group by f, t""",
-    "acf_lags": f"select c, lag, round(rho, 9) as rho from ({NORMED}) r",
-    "sokal_tau": f"""select c, round(coalesce(min_by(greatest(tau, 1.0), case when lag >= 5 * tau then lag end), max(greatest(last_tau, 1.0))), 8) as tau from (
-        select c, lag, tau, max_by(tau, lag) over (partition by c) as last_tau from (
-        select c, lag, 1 + 2 * sum(case when lag > 0 then rho else 0 end) over (partition by c order by lag) as tau from ({NORMED}) r) s) t group by c""",
-    "geyer_pairs": f"""select c, pair, round(least_sum, 9) as least_sum from (
-        select c, pair, min(g) over (partition by c order by pair) as least_sum from (
-        select c, cast(floor(lag / 2) as bigint) as pair, sum(case when lag = 0 then 0 else rho end) as g from ({NORMED}) r group by c, cast(floor(lag / 2) as bigint)) p) q where least_sum > 0""",
-    "moving_average_convergence": f"""select c, min(i) as first_i, count(*) as inside from (
-        select c, i, ma, median(ma) over (partition by c) as tail from (
-        select c, i, avg(x) over (partition by c order by i rows between 4 preceding and current row) as ma from ({STEPS}) e) m where i >= 5) q where abs(ma - tail) <= 0.05 * abs(tail) group by c""",
     "peak_rho": f"select l, min(rho_key) as peak from (select l, rho_key, rank() over (partition by l order by round(v, 4) desc) as r from ({POINTS}) p where n > 1) q where r = 1 group by l",
     "nearest_point": f"select l, min(rho_key) as rho_key from (select l, rho_key, rank() over (partition by l order by abs(rho_key - 17)) as r from ({POINTS}) p) q where r = 1 group by l",
     "window_filter": f"select l, rho_key, n, round(p1, 6) as p1 from ({POINTS}) p where rho_key between 10 and 20 and l % 2 = 0",
