@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHAIN = Window.partitionBy("c")
+
+def _chain():
+    return Window.partitionBy("c")
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(c, i, x, n)``: the values of each chain, numbered from 1, and how many they are."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("c"), "ts", "event_id", F.col("value").alias("x"))
-    order = F.row_number().over(CHAIN.orderBy("ts", "event_id"))
-    return events.select("c", order.alias("i"), "x").withColumn("n", F.count(F.lit(1)).over(CHAIN))
+    order = F.row_number().over(_chain().orderBy("ts", "event_id"))
+    return events.select("c", order.alias("i"), "x").withColumn("n", F.count(F.lit(1)).over(_chain()))
 
 
 def autocorrelation(steps: DataFrame) -> DataFrame:
@@ -20,11 +22,11 @@ def autocorrelation(steps: DataFrame) -> DataFrame:
 
     Each value is joined to the one ``lag`` steps on by an equi-join on chain and step.
     """
-    own = steps.select("c", "n", "i", (F.col("x") - F.avg("x").over(CHAIN)).alias("d"))
+    own = steps.select("c", "n", "i", (F.col("x") - F.avg("x").over(_chain())).alias("d"))
     later = own.select("c", F.col("i").alias("j"), F.col("d").alias("e"))
     pairs = own.withColumn("lag", F.explode(F.expr("sequence(0, cast(greatest(1, n div 10) as int))"))).withColumn("j", F.col("i") + F.col("lag"))
     g = pairs.join(later, ["c", "j"]).groupBy("c", "n", "lag").agg((F.sum(F.col("d") * F.col("e")) / F.first("n")).alias("g"))
-    g0 = F.first("g").over(CHAIN.orderBy("lag"))
+    g0 = F.first("g").over(_chain().orderBy("lag"))
     rho = F.when(F.col("lag") == 0, 1.0).when(F.abs(g0) < 1e-6, 0.0).otherwise(F.col("g") / g0)
     return g.select("c", "n", "lag", rho.alias("rho"))
 
@@ -36,7 +38,7 @@ def acf_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sokal_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first window of at least five times its own integrated time, else the last."""
     acf = autocorrelation(_steps(spark, sf_dir))
-    total = F.sum(F.when(F.col("lag") > 0, F.col("rho")).otherwise(0.0)).over(CHAIN.orderBy("lag"))
+    total = F.sum(F.when(F.col("lag") > 0, F.col("rho")).otherwise(0.0)).over(_chain().orderBy("lag"))
     taus = acf.select("c", "lag", F.greatest(F.lit(1.0), 1 + 2 * total).alias("tau"))
     enough = F.when((F.col("lag") > 0) & (F.col("lag") >= 5 * F.col("tau")), F.col("lag"))
     best = taus.groupBy("c").agg(F.min_by("tau", enough).alias("tau"), F.min(enough).alias("m"), F.max_by("tau", "lag").alias("last"), F.max("lag").alias("most"))
@@ -47,7 +49,7 @@ def geyer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The initial positive sequence: pair sums, never rising, up to the first that isn't positive; the first pair counts without lag 0."""
     acf = autocorrelation(_steps(spark, sf_dir))
     pairs = acf.groupBy("c", "n", F.expr("lag div 2").alias("k")).agg(F.sum("rho").alias("gamma"), F.count(F.lit(1)).alias("both"), F.max_by("rho", "lag").alias("odd"))
-    pairs = pairs.withColumn("least", F.when(F.col("both") == 2, F.min("gamma").over(CHAIN.orderBy("k"))))
+    pairs = pairs.withColumn("least", F.when(F.col("both") == 2, F.min("gamma").over(_chain().orderBy("k"))))
     first = F.sum(F.when((F.col("k") == 0) & (F.col("both") == 2), F.col("odd")))
     rest = F.sum(F.when((F.col("k") > 0) & (F.col("least") > 0), F.col("least")))
     out = pairs.groupBy("c", "n").agg(F.coalesce(first, F.lit(0.0)).alias("s1"), F.coalesce(rest, F.lit(0.0)).alias("s2"), F.coalesce(F.max(F.when(F.col("least") > 0, F.col("k"))), F.lit(0)).alias("last"))
@@ -58,10 +60,10 @@ def geyer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moving_average_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first step whose mean of the last 50 (or all, of fewer) values is within 1 % of the median of the last tenth of such means; else the last step."""
     steps = _steps(spark, sf_dir).withColumn("w", F.least(F.lit(50), "n"))
-    order = CHAIN.orderBy("i")
+    order = _chain().orderBy("i")
     mean = F.when(F.col("n") >= 50, F.avg("x").over(order.rowsBetween(-49, 0))).otherwise(F.avg("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     smooth = steps.withColumn("mean", mean).where("i >= w").withColumn("tail", F.expr("least(n - w + 1, greatest(5, ceil((n - w + 1) * 0.1D)))"))
-    ref = F.median(F.when(F.col("i") > F.col("n") - F.col("tail"), F.col("mean"))).over(CHAIN)
+    ref = F.median(F.when(F.col("i") > F.col("n") - F.col("tail"), F.col("mean"))).over(_chain())
     marked = smooth.withColumn("ref", ref).withColumn("near", F.abs(F.col("mean") - F.col("ref")) <= F.greatest(F.lit(1e-12), 0.01 * F.greatest(F.lit(1.0), F.abs("ref"))))
     out = marked.groupBy("c").agg(F.coalesce(F.min(F.when(F.col("near"), F.col("i"))), F.max("n")).alias("first_i"), F.round(F.max("ref"), 6).alias("tail_reference"))
     return out.select("c", F.col("first_i").cast("long").alias("first_i"), "tail_reference")
