@@ -36,13 +36,18 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             MADE.remove(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``written``, and the folder, for tables that are to be dropped by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back."""
+    return written_at(df)[0]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

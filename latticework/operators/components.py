@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from latticework.functions.durable import checkpointed
+from latticework.functions.durable import discard, written_at
 from latticework.functions.hubs import with_hubs_apart
 
 
@@ -27,9 +27,11 @@ def _ordered(e: DataFrame) -> DataFrame:
     return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _told(e: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """``e`` written, its folder, and its number of rows and a checksum, which the write itself takes."""
+    seen = Observation()
+    out, path = written_at(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return out, path, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -41,12 +43,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     root of a large component has all its nodes as neighbours) are joined by a broadcast of a bounded number of them.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    e = checkpointed(_ordered(e))
-    before = _state(e)
+    e, at, before = _told(_ordered(e))
     while before[0]:
-        large = checkpointed(_ordered(_large_star(e, before[0])))
-        e = checkpointed(_ordered(_small_star(large, before[0])))
-        after = _state(e)
+        large, large_at = written_at(_ordered(_large_star(e, before[0])))
+        old = [at, large_at]
+        e, at, after = _told(_ordered(_small_star(large, before[0])))
+        discard(edges.sparkSession, old)
         if after == before:
             break
         before = after
