@@ -9,7 +9,7 @@ from math import exp, factorial, isqrt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.jobs import series
+from latticework.jobs import series, statistics
 from latticework.jobs.statistics_sql import QUERIES as STATISTICS
 from latticework.operators import lattice, matching
 
@@ -20,11 +20,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _in_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    names = set(re.findall(r"\{(\w+)\}", text))
-    return lambda spark, sf_dir: spark.sql(text, **{n: _table(spark, sf_dir, n) for n in names})
-
-
 def _lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Lattices over the order keys: the largest even side that the number of orders fills."""
     orders = _table(spark, sf_dir, "orders")
@@ -114,7 +109,7 @@ QUERIES = {
     "lattice_rules": lattice_rules, "checkerboard_counts": checkerboard_counts, "bond_energy": bond_energy, "coarse_field": coarse_field,
     "sublattice3_counts": sublattice3_counts, "cluster_sizes": cluster_sizes, "largest_cluster": largest_cluster, "mis_observables": mis_observables,
     "bootstrap_hash": bootstrap_hash,
-} | series.QUERIES | {name: _in_sql(text) for name, text in STATISTICS.items()}
+} | series.QUERIES | statistics.QUERIES
 
 _HASH = "('0x' || substr(md5(cast({0} as varchar) || '-' || cast({1} as varchar)), 1, 8))::bigint"
 _SITES = f"""with size as (select cast(floor(floor(sqrt(count(*))) / 2) * 2 as bigint) as l, min(o_orderkey) as low from orders),

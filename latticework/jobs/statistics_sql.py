@@ -1,20 +1,20 @@
-"""Ensemble statistics in SQL that Spark and an independent engine both read; {name} stands for a table."""
+"""SQL for an independent engine to check ``statistics.py`` with; {name} stands for a table."""
 
 from __future__ import annotations
 
 #: Thermal values m of each disorder sample s at a grid point (f, t).
 VALUES = "select l_returnflag as f, l_linestatus as t, l_orderkey as s, l_linenumber as k, (l_discount - 0.05) / 0.05 as m from {lineitem}"
 #: Thermal means by sample.
-THERMAL = f"select f, t, s, count(*) as n, avg(m) as m1, avg(abs(m)) as a1, avg(m * m) as m2, avg(m * m * m * m) as m4 from ({VALUES}) v group by f, t, s"
+THERMAL = f"select f, t, s, count(*) as n, avg(m) as m1, avg(abs(m)) as a1, avg(m * m) as m2, avg(m * m * m) as m3, avg(abs(m * m * m)) as a3, avg(m * m * m * m) as m4, max(k) as last from ({VALUES}) v group by f, t, s"
 #: Observable P of size L at density rho, by order month.
 GRID = "select c_nationkey as l, o_orderpriority as band, cast(floor(o_totalprice / 10000) as bigint) as rho_key, o_totalprice as p from {orders} join {customer} on o_custkey = c_custkey"
 POINTS = f"select l, rho_key, count(*) as n, avg(p) as p1, var_pop(p) as v from ({GRID}) g group by l, rho_key"
 
 QUERIES = {
     "moments": f"select f, t, count(*) as n, round(avg(m), 9) as m1, round(avg(abs(m)), 9) as abs1, round(avg(m * m), 9) as m2, round(avg(m * m * m * m), 9) as m4, round(stddev_pop(m), 9) as sd from ({VALUES}) v group by f, t",
-    "two_level_average": f"select f, t, count(*) as samples, round(avg(m1), 9) as dis_m, round(avg(a1), 9) as dis_abs, round(avg(m2), 9) as dis_m2, round(avg(m4), 9) as dis_m4, round(avg(m1 * m1), 9) as q_ea, round(avg(a1 * a1), 9) as dis_abs_sq, round(avg(m1 * m1 * m1 * m1), 9) as dis_m_p4 from ({THERMAL}) s group by f, t",
-    "susceptibility": f"select f, t, round(avg(m2 - a1 * a1), 9) as chi_th, round(avg(a1 * a1) - avg(a1) * avg(a1), 9) as chi_dis, round(avg(m2) - avg(a1) * avg(a1), 9) as chi_tot from ({THERMAL}) s group by f, t",
-    "binder": f"select f, t, round(case when x2 > 1e-15 then 1 - x4 / (3 * x2 * x2) else 0 end, 9) as u4, round(case when q > 1e-15 then 1 - q4 / (3 * q * q) else 0 end, 9) as u_ea from (select f, t, avg(m2) as x2, avg(m4) as x4, avg(m1 * m1) as q, avg(m1 * m1 * m1 * m1) as q4 from ({THERMAL}) s group by f, t) b",
+    "two_level_average": f"select f, t, count(*) as samples, round(avg(m1), 9) as dis_m, round(avg(a1), 9) as dis_abs, round(avg(m2), 9) as dis_m2, round(avg(m3), 9) as dis_m3, round(avg(a3), 9) as dis_abs3, round(avg(m4), 9) as dis_m4, round(avg(m1 * m1), 9) as q_ea, round(avg(a1 * a1), 9) as dis_abs_sq, round(avg(m1 * m1 * m1 * m1), 9) as dis_m_p4, round(avg(a1 * a1 * a1 * a1), 9) as dis_abs_p4, round(avg(m2 * m2), 9) as dis_m2_sq from ({THERMAL}) s group by f, t",
+    "susceptibility": "select f, t, " + ", ".join(f"round(max(last) * avg(m2 - {c} * {c}), 8) as chi_th_{name}, round(max(last) * var_pop({c}), 8) as chi_dis_{name}, round(max(last) * (avg(m2) - avg({c}) * avg({c})), 8) as chi_tot_{name}" for c, name in (("a1", "abs"), ("m1", "m"))) + f" from ({THERMAL}) s group by f, t",
+    "binder": "select f, t, " + ", ".join(f"round(case when avg({x}) > 1e-15 then 1 - avg(({x}) * ({x4})) / (3 * avg({x}) * avg({x})) else 0 end, 9) as {name}" for x, x4, name in (("m2", "case when m2 > 0 then m4 / m2 else 0 end", "u4"), ("m1 * m1", "m1 * m1", "u_ea"), ("a1 * a1", "a1 * a1", "u_ea_abs"), ("m2", "m2", "u22"))) + f" from ({THERMAL}) s group by f, t",
     "jackknife_chi": f"""select f, t, count(*) as n, round(coalesce(sqrt(greatest(sum((th - mean) * (th - mean)), 0) * (max(n) - 1) / max(n)), 0), 10) as sem from (
         select f, t, n, th, avg(th) over (partition by f, t) as mean from (
         select f, t, n, (s2 - m2) / nullif(n - 1, 0) - ((s1 - a1) / nullif(n - 1, 0)) * ((s1 - a1) / nullif(n - 1, 0)) as th from (
