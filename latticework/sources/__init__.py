@@ -1 +1 @@
-
+"""Readers and writers of published text tables."""
