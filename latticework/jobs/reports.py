@@ -77,7 +77,7 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     b = _read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     both = a.unionByName(b).where("k is not null").groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))  # one shuffle for all four
-    return both.agg(F.count(F.lit(1)).alias("n_union"), F.count_if("a = 1 and b = 1").alias("n_both"), F.count_if("a = 1 and b = 0").alias("n_first"), F.count_if("a = 0 and b = 1").alias("missing"))
+    return both.agg(F.count(F.lit(1)).alias("n_union"), F.count_if(F.expr("a = 1 and b = 1")).alias("n_both"), F.count_if(F.expr("a = 1 and b = 0")).alias("n_first"), F.count_if(F.expr("a = 0 and b = 1")).alias("missing"))
 
 
 def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +129,7 @@ def blocked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, n = _occupied(spark, sf_dir)
     ruled = lattice.local_rules(table, n)
     state = F.expr("case when core = 1 then 1 when n_core > 0 then 2 else 0 end")
-    return ruled.groupBy("sample_id", state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if("occ = 1 and n_occ = 0").alias("isolated"))
+    return ruled.groupBy("sample_id", state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("occ = 1 and n_occ = 0")).alias("isolated"))
 
 
 def open_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +142,16 @@ def open_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours_set(table, steps, "k").groupBy("sample_id", ring.cast("long").alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.sum("occ").alias("n_occ"), F.sum("k").alias("bonds"))
 
 
-QUERIES = {q.__name__: q for q in (quantiles, ensemble_bins, order_parameter, imbalance, size_statistics, zero_ratios, bootstrap_sem, key_sets, best_trial, signatures, valid_times, hexagonal_neighbours, blocked_sites, open_borders)}
+def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied sites and those of their 2-core, by sample."""
+    table, n = _occupied(spark, sf_dir)
+    core = lattice.k_core(table.where("occ = 1").select("sample_id", "site", "x", "y"), n, 2)
+    kept = core.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_core"), F.sum("site").alias("sites"))
+    zero = F.lit(0).cast("long")
+    return table.groupBy("sample_id").agg(F.sum("occ").alias("n_occ")).join(kept, "sample_id", "left").select("sample_id", "n_occ", F.coalesce("n_core", zero).alias("n_core"), F.coalesce("sites", zero).alias("sites"))
+
+
+QUERIES = {q.__name__: q for q in (quantiles, ensemble_bins, order_parameter, imbalance, size_statistics, zero_ratios, bootstrap_sem, key_sets, best_trial, signatures, valid_times, hexagonal_neighbours, blocked_sites, open_borders, k_core)}
 
 
 def oracles(sites: str, hashed: str, drawn: str) -> dict[str, str]:
@@ -170,6 +179,12 @@ def oracles(sites: str, hashed: str, drawn: str) -> dict[str, str]:
         "hexagonal_neighbours": sites + f""", hex as (select distinct s.sample_id, s.site, ((y + dy + l) % l) * l + (x + dx + slant * 2 * (y % 2) + l) % l as nb from site s, {six})
             select sample_id, occ, k, count(*) as n from (select s.sample_id, s.site, s.occ, coalesce(sum(b.occ), 0) as k from site s join hex using (sample_id, site) join site b on b.sample_id = s.sample_id and b.site = hex.nb group by 1, 2, 3) q group by 1, 2, 3""",
         "blocked_sites": sites + """ select sample_id, case when core = 1 then 1 when active = 0 then 2 else 0 end as state, count(*) as n, sum(case when occ = 1 and core = 0 then 1 else 0 end) as isolated from ruled group by 1, 2""",
+        "k_core": sites.replace("with size", "with recursive size", 1) + """,
+            pair as (select nb.sample_id, nb.site, nb.nb from nb join site a on a.sample_id = nb.sample_id and a.site = nb.site and a.occ = 1 join site b on b.sample_id = nb.sample_id and b.site = nb.nb and b.occ = 1),
+            left_(sample_id, site, dead) using key (sample_id, site) as (select sample_id, site, 0 from site where occ = 1
+             union (select r.sample_id, r.site, 1 from recurring.left_ r left join pair p on p.sample_id = r.sample_id and p.site = r.site left join recurring.left_ q on q.sample_id = p.sample_id and q.site = p.nb and q.dead = 0
+              where r.dead = 0 group by r.sample_id, r.site having count(q.site) < 2))
+            select sample_id, count(*) as n_occ, cast(sum(1 - dead) as bigint) as n_core, cast(sum(case when dead = 0 then site else 0 end) as bigint) as sites from left_ group by 1""",
         "open_borders": sites + """, o as (select sample_id, site, x, y, l, least(3, x, y, l - 1 - x, l - 1 - y) as ring, case when least(x, y, l - 1 - x, l - 1 - y) = 0 and (x + y) % 2 = 0 then 0 else occ end as occ from site)
             select a.sample_id, a.ring, count(distinct a.site) as n, (select sum(occ) from o c where c.sample_id = a.sample_id and c.ring = a.ring) as n_occ, sum(b.occ) as bonds
             from o a, (values (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy), o b where b.sample_id = a.sample_id and b.site = (a.y + dy) * a.l + a.x + dx and a.x + dx between 0 and a.l - 1 and a.y + dy between 0 and a.l - 1 group by 1, 2""",

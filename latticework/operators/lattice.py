@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions.durable import discard, written_at
 from latticework.operators.components import connected_components
 
 
@@ -50,6 +51,25 @@ def local_rules(table: DataFrame, length: int) -> DataFrame:
     return two.withColumn("active", (F.col("n_core") == 0).cast("int"))
 
 
+def k_core(own: DataFrame, length: int, k: int) -> DataFrame:
+    """The sites of ``own(sample_id, site, x, y)`` that are left when those with fewer than ``k`` neighbours in it go, again and again.
+
+    Each round is one shuffle of the sites that are left, written so that the next one starts from it; rounds are as many as the longest path of removals.
+    """
+    left, at = written_at(own.select("sample_id", "site", "x", "y"))
+    before = left.count()
+    while before:
+        sent = left.select("sample_id", F.explode(F.array_distinct(neighbour_numbers(length))).alias("to"), "site").where("to <> site")
+        rich = sent.groupBy("sample_id", F.col("to").alias("site")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("sample_id", "site")
+        fewer, new = written_at(left.join(rich, ["sample_id", "site"], "left_semi").select("sample_id", "site", "x", "y"))
+        discard(own.sparkSession, [at])
+        left, at, after = fewer, new, fewer.count()
+        if after == before:
+            break
+        before = after
+    return left
+
+
 def clusters(table: DataFrame, flag: str, length: int) -> DataFrame:
     """``(sample_id, site, cluster)`` of the sites with ``flag`` set; cluster is the least site of its connected set."""
     own = table.where(F.col(flag) == 1).select("sample_id", "site", "x", "y")
