@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in "customer supplier orders lineitem events".split():
+    for t in "customer supplier part orders lineitem events".split():
         p = f"{SF}/{t}.parquet"
         c.sql(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c
