@@ -29,6 +29,17 @@ def neighbour_numbers(length: int) -> Column:
     return F.array(at("x + 1", "y"), at("x - 1", "y"), at("x", "y + 1"), at("x", "y - 1"))
 
 
+def grid_neighbours(length: int, dims: int = 2) -> Column:
+    """The ``2 * dims`` neighbours of ``site`` in ``dims`` dimensions with periodic sides, each once."""
+    steps = [(f"(site div {length**d}) % {length}", length**d) for d in range(dims)]
+    return F.array_distinct(F.array(*[F.expr(f"site + (pmod({at} {sign} 1, {length}) - {at}) * {stride}") for at, stride in steps for sign in "+-"]))
+
+
+def parity(length: int, dims: int = 2) -> Column:
+    """Side of the checkerboard of ``site``."""
+    return F.expr("(" + " + ".join(f"(site div {length**d}) % {length}" for d in range(dims)) + ") % 2")
+
+
 def bonds(table: DataFrame, length: int) -> DataFrame:
     """``(sample_id, site, nb)``: each site with each of its distinct neighbours."""
     return table.select("sample_id", "site", F.explode(F.array_distinct(neighbour_numbers(length))).alias("nb")).where("site <> nb")

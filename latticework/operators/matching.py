@@ -59,6 +59,17 @@ def frozen(vertices: list[int], edges: dict[int, list[int]], to: dict[int, int])
     return state
 
 
+def _solved(own: pd.DataFrame, length: int | None) -> tuple[list[int], int, dict[int, int]]:
+    """Side of the checkerboard of each row's site, the matching's size, and the frozen states; ``length`` is the period of both sides, None for open ones."""
+    xy = list(zip(own["x"].tolist(), own["y"].tolist()))
+    at = {p: i for i, p in enumerate(xy)}
+    wrap = (lambda x, y: (x % length, y % length)) if length else (lambda x, y: (x, y))
+    edges = {i: sorted({at[n] for n in (wrap(x + 1, y), wrap(x - 1, y), wrap(x, y + 1), wrap(x, y - 1)) if n in at}) for (x, y), i in at.items()}
+    side = [(x + y) % 2 for x, y in xy]
+    to = greatest_matching([i for i, s in enumerate(side) if s == 0], edges)
+    return side, len(to) // 2, frozen(list(range(len(side))), edges, to)
+
+
 def ground_states(sites: DataFrame, group: list[str]) -> DataFrame:
     """One row for each group of ``sites(…, x, y)``, taken as an open lattice piece of active sites.
 
@@ -68,14 +79,30 @@ def ground_states(sites: DataFrame, group: list[str]) -> DataFrame:
     names = ["n_active", "matching", "mis", "in_a", "in_b", "out_a", "out_b", "free_a", "free_b"]
 
     def solve(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        at = {(x, y): i for i, (x, y) in enumerate(zip(own["x"].tolist(), own["y"].tolist()))}
-        side = {i: (x + y) % 2 for (x, y), i in at.items()}
-        edges = {i: [at[n] for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if n in at] for (x, y), i in at.items()}
-        to = greatest_matching([i for i in side if side[i] == 0], edges)
-        state = frozen(list(side), edges, to)
-        count = lambda s, p: sum(1 for i in side if side[i] == p and state.get(i) == s)
-        m = len(to) // 2
+        side, m, state = _solved(own, None)
+        count = lambda s, p: sum(1 for i, q in enumerate(side) if q == p and state.get(i) == s)
         return pd.DataFrame([[*key, len(side), m, len(side) - m, count(1, 0), count(1, 1), count(0, 0), count(0, 1), count(None, 0), count(None, 1)]], columns=[*group, *names])
 
+    return sites.select(*group, "x", "y").groupBy(*group).applyInPandas(solve, _kinds(sites, group) + ", " + ", ".join(f"{n} long" for n in names))
+
+
+def _kinds(sites: DataFrame, columns: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
-    return sites.select(*group, "x", "y").groupBy(*group).applyInPandas(solve, ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + ", ".join(f"{n} long" for n in names))
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
+
+
+def ground_sites(sites: DataFrame, group: list[str], length: int) -> DataFrame:
+    """``(*group, x, y, side, state, mis)`` of the active ``sites(*group, x, y)`` of lattices with even period ``length``.
+
+    A group is a connected set of active sites (their cluster), so a task holds one cluster and never more than one lattice. state: 1 in every greatest
+    independent set, 0 in none, null in some. mis is the greatest independent set that the sites of side 0 enter only where they
+    must: those with state 1, and those of side 1 without state 0. It doesn't depend on the matching that was found.
+    """
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        side, _, state = _solved(own, length)
+        found = [state.get(i) for i in range(len(side))]
+        mis = [int(s == 1 if p == 0 else s != 0) for s, p in zip(found, side)]
+        return own.assign(side=side, state=pd.array(found, "Int32"), mis=mis)
+
+    return sites.select(*group, "x", "y").groupBy(*group).applyInPandas(solve, _kinds(sites, [*group, "x", "y"]) + ", side int, state int, mis int")
