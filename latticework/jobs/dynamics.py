@@ -1,4 +1,4 @@
-"""Queries of sampled dynamics, ground states of whole lattices and lattices in three dimensions."""
+"""Queries of sampled dynamics, ground states of whole lattices, lattices in three dimensions and laws of shares."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import written
-from latticework.operators import dynamics, lattice, matching
+from latticework.operators import dynamics, fits, lattice, matching
 
 SWEEPS, RATE, SIGMA, BETA, STATES = 2, 0.3, 0.5, 0.8, 3
 
@@ -124,7 +124,16 @@ def ground_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("sample_id", "n_active", F.coalesce("n_bonds", F.lit(0).cast("long")).alias("n_bonds"), part("spins"), part("defects"))
 
 
-QUERIES = {q.__name__: q for q in (constrained, field_ising, disordered_potts, cubic_rules, ground_observables, ground_bonds)}
+def dirichlet_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeliest Dirichlet law of the shares of a customer's lines by flag, in each market segment."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines = read("lineitem").groupBy("l_orderkey").agg(*[F.count_if(F.col("l_returnflag") == f).alias(f.lower()) for f in "ANR"])
+    own = lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(*[F.sum(c).alias(c) for c in "anr"])
+    shares = own.join(read("customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_mktsegment", *[F.try_divide(F.col(c), F.col("a") + F.col("n") + F.col("r")).alias(c) for c in "anr"])
+    return fits.dirichlet(shares, ["c_mktsegment"], list("anr")).select("c_mktsegment", F.col("n").alias("customers"), *[F.round(f"alpha_{c}", 6).alias(f"alpha_{c}") for c in "anr"])
+
+
+QUERIES = {q.__name__: q for q in (constrained, field_ising, disordered_potts, cubic_rules, ground_observables, ground_bonds, dirichlet_by_segment)}
 
 
 def oracles(sites: str, hashed: str) -> dict[str, str]:
