@@ -54,3 +54,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small table, cleaned by Spark when it is no longer in use."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class Growing:
+    """A table in the shared folder to which rounds add rows; ``table`` reads all that was added so far."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+        MADE.append(self.path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.jobs.decomposition import solved_lattices
+from latticework.jobs.inputs import lattices
 from latticework.functions.durable import written
-from latticework.operators import dynamics, fits, lattice, matching
+from latticework.operators import dynamics, fits, lattice
 
 SWEEPS, RATE, SIGMA, BETA, STATES = 2, 0.3, 0.5, 0.8, 3
 
 
-def _lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    from latticework.jobs.registry import _lattice as made
-
-    return made(spark, sf_dir)
-
-
 def _drawn(t: int, what: str) -> Column:
     """The uniform number of a site in half sweep ``t``."""
     return dynamics.unit(F.col("sample_id"), F.concat(F.lit(f"{what}{t}+"), F.col("site").cast("string")))
@@ -24,7 +20,7 @@ def _drawn(t: int, what: str) -> Column:
 
 def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat bath under a constraint: a site without set neighbours is set anew with probability ``RATE``; set sites, changed sites and whether these are over three in ten, by sample."""
-    table, n = _lattice(spark, sf_dir)
+    table, n = lattices(spark, sf_dir)
     start = table.select("sample_id", "site", F.col("occ").alias("s"))
     now = dynamics.swept(start, n, SWEEPS, 2, F.lit(1.0), lambda t: F.when(F.col("w1") == 0, (_drawn(t, "k") < RATE).cast("int")).otherwise(F.col("s")))
     changed = (F.col("s") != F.col("before")).cast("int")
@@ -34,7 +30,7 @@ def constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_ising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spins of +1 (set) and -1 in a Gaussian field: a flip is taken with 1 / (1 + exp(beta * change of energy)); energy density and magnetisation by sample."""
-    table, n = _lattice(spark, sf_dir)
+    table, n = lattices(spark, sf_dir)
     field = SIGMA * dynamics.gaussian(F.col("sample_id"), F.concat(F.lit("h"), F.col("site").cast("string")))
     spin = 2 * F.col("s") - 1
     change = -2 * spin * (field + F.col("w1") - F.col("w0"))
@@ -53,7 +49,7 @@ def _bonds(table: DataFrame, length: int) -> DataFrame:
 
 def disordered_potts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spins of ``STATES`` states with Gaussian couplings and fields, Metropolis: energy density, order parameter and fractions by sample."""
-    table, n = _lattice(spark, sf_dir)
+    table, n = lattices(spark, sf_dir)
     seed, site, s = F.col("sample_id"), F.col("site").cast("string"), F.col("s")
     start = table.select("sample_id", "site", F.floor(STATES * dynamics.unit(seed, F.concat(F.lit("s"), site))).alias("s"))
     coupling = dynamics.gaussian(seed, dynamics.bond_key(F.col("site"), F.col("nb")))
@@ -95,10 +91,9 @@ def cubic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ground(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """The active sites of whole lattices with their cluster, frozen state and membership."""
-    table, n = _lattice(spark, sf_dir)
-    active = lattice.clusters(lattice.local_rules(table, n), "active", n)
-    xy = active.select("sample_id", "cluster", (F.col("site") % n).alias("x"), F.expr(f"site div {n}").alias("y"))
-    return written(matching.ground_sites(xy, ["sample_id", "cluster"], n)), n
+    solved, _, n = solved_lattices(spark, sf_dir)
+    at = F.col("node") % (n * n)
+    return solved.select(F.expr(f"cast(node div {n * n} as int)").alias("sample_id"), "cluster", (at % n).alias("x"), F.floor(at / n).alias("y"), "side", "state", "mis"), n
 
 
 def ground_observables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,45 +4,35 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from math import exp, factorial, isqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.jobs import dynamics, reports, series, statistics, tables
+from latticework.jobs import decomposition, dynamics, reports, series, statistics, tables
+from latticework.jobs.inputs import DENSITY, POISSON, SAMPLES, active_clusters, lattices
 from latticework.jobs.statistics_sql import QUERIES as STATISTICS
 from latticework.operators import lattice, matching
 
-SAMPLES, DENSITY = 4, 0.25
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Lattices over the order keys: the largest even side that the number of orders fills."""
-    orders = _table(spark, sf_dir, "orders")
-    length = isqrt(orders.count()) // 2 * 2
-    low = orders.agg(F.min("o_orderkey")).first()[0] or 0
-    return lattice.sites(orders.select((F.col("o_orderkey") - low).alias("site")), "site", length, SAMPLES, DENSITY), length
-
-
 def lattice_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     ruled = lattice.local_rules(table, length)
     return ruled.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("occ").alias("n_occ"), F.sum("core").alias("n_core"), F.sum("active").alias("n_active"))
 
 
 def checkerboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     side = F.expr("(x + y) % 2")
     return lattice.local_rules(table, length).groupBy("sample_id", side.alias("side")).agg(F.sum("active").alias("n_active"), F.sum("occ").alias("n_occ"))
 
 
 def bond_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds once, right and down: both ends active, equal and unequal occupation."""
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     ruled = lattice.local_rules(table, length).select("sample_id", "site", "x", "y", "active", "occ")
     ends = ruled.select("sample_id", F.col("site").alias("nb"), F.col("active").alias("active2"), F.col("occ").alias("occ2"))
     pairs = ruled.withColumn("nb", F.explode(F.array(*[F.element_at(lattice.neighbour_numbers(length), i) for i in (1, 3)]))).join(ends, ["sample_id", "nb"])
@@ -52,20 +42,19 @@ def bond_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coarse_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Majority of the checkerboard-signed occupation in blocks of 4 by 4."""
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     signed = F.expr("(2 * occ - 1) * (1 - 2 * ((x + y) % 2))")
     own = table.groupBy("sample_id", F.expr("x div 4").alias("bx"), F.expr("y div 4").alias("by")).agg(F.sum(signed).alias("field"))
     return own.select("sample_id", "bx", "by", "field", F.signum("field").cast("int").alias("spin"))
 
 
 def sublattice3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, _ = _lattice(spark, sf_dir)
+    table, _ = lattices(spark, sf_dir)
     return table.groupBy("sample_id", F.expr("(x + 2 * (y % 2)) % 3").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("occ").alias("n_occ"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    table, length = _lattice(spark, sf_dir)
-    found = lattice.clusters(lattice.local_rules(table, length), "active", length)
+    found, length = active_clusters(spark, sf_dir)
     return found.groupBy("sample_id", "cluster").agg(F.count(F.lit(1)).alias("size")), length
 
 
@@ -84,7 +73,7 @@ def largest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mis_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ground states of the active sites in open tiles of 16 by 16."""
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     own = lattice.local_rules(table, length).where("active = 1")
     return matching.ground_states(own.select("sample_id", F.expr("x div 16").alias("tx"), F.expr("y div 16").alias("ty"), "x", "y"), ["sample_id", "tx", "ty"])
 
@@ -102,14 +91,11 @@ def bootstrap_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("rep", "o_orderstatus", "drawn", F.round(F.try_divide("total", "drawn"), 9).alias("mean"))
 
 
-#: Cumulated probabilities of 0 to 12 events at a rate of one; more than 13 are rarer than a 32-bit number tells.
-POISSON = [sum(exp(-1.0) / factorial(j) for j in range(k + 1)) for k in range(13)]
-
 QUERIES = {
     "lattice_rules": lattice_rules, "checkerboard_counts": checkerboard_counts, "bond_energy": bond_energy, "coarse_field": coarse_field,
     "sublattice3_counts": sublattice3_counts, "cluster_sizes": cluster_sizes, "largest_cluster": largest_cluster, "mis_observables": mis_observables,
     "bootstrap_hash": bootstrap_hash,
-} | series.QUERIES | statistics.QUERIES | tables.QUERIES | reports.QUERIES | dynamics.QUERIES
+} | series.QUERIES | statistics.QUERIES | tables.QUERIES | reports.QUERIES | dynamics.QUERIES | decomposition.QUERIES
 
 _HASH = "('0x' || substr(md5(cast({0} as varchar) || '-' || cast({1} as varchar)), 1, 8))::bigint"
 _SITES = f"""with size as (select cast(floor(floor(sqrt(count(*))) / 2) * 2 as bigint) as l, min(o_orderkey) as low from orders),
@@ -141,4 +127,4 @@ ORACLES = {
         select samples, round(m1, 9) as m1, round(m2, 9) as m2, round(m4, 9) as m4, round(case when m2 > 1e-15 then 1 - m4 / (3 * m2 * m2) else 0 end, 9) as binder from m""",
     "bootstrap_hash": f"""select rep, o_orderstatus, sum(w) as drawn, round(sum(w * n) / nullif(sum(w), 0), 9) as mean from (select rep, o_orderstatus, n, {_DRAWN} as w from (
         select r.rep, o_orderstatus, n, {_HASH.format('r.rep', 'l_orderkey')} / 4294967296.0 as u from (select l_orderkey, count(*) as n from lineitem group by 1) c join orders on o_orderkey = l_orderkey, (select unnest(range(20)) as rep) r) q) z group by 1, 2""",
-} | series.ORACLES | tables.ORACLES | reports.oracles(_SITES, _HASH.format('rep', 's'), _DRAWN) | dynamics.oracles(_SITES, _HASH) | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}
+} | series.ORACLES | tables.ORACLES | reports.oracles(_SITES, _HASH.format('rep', 's'), _DRAWN) | dynamics.oracles(_SITES, _HASH) | decomposition.oracles(_CLUSTERS, _HASH) | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}

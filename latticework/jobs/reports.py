@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import written
+from latticework.jobs.inputs import POISSON, lattices
 from latticework.jobs.statistics import grid, points, thermal, values
 from latticework.operators import lattice
 
@@ -50,18 +51,17 @@ def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of zero and non-zero responses by occupation in each sample; then mean and deviation over the samples."""
+    """Of a sample's responses, the shares that are zero, non-zero on an occupied and non-zero on an empty site; mean and deviation of the changes; then mean and deviation over the samples."""
     li = _read(spark, sf_dir, "lineitem")
     zero, one = F.col("l_discount") < 0.005, F.col("l_linestatus") == "O"
-    own = li.groupBy("l_suppkey").agg(F.avg(F.when(one, zero.cast("double"))).alias("a"), F.avg(F.when(~one, zero.cast("double"))).alias("b"), F.avg(zero.cast("double")).alias("c"))
+    share = lambda test: F.avg(F.coalesce(test, F.lit(False)).cast("double"))
     sd = lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 9)
-    return own.agg(*[x for c in "abc" for x in (F.round(F.avg(c), 9).alias(f"mean_{c}"), sd(c).alias(f"sd_{c}"))])
+    own = li.groupBy("l_suppkey").agg(share(zero).alias("a"), share(~zero & one).alias("b"), share(~zero & ~one).alias("c"), F.avg("l_quantity").alias("d"), F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("e"))
+    return own.agg(*[x for c in "abcde" for x in (F.round(F.avg(c), 9).alias(f"mean_{c}"), sd(c).alias(f"sd_{c}"))])
 
 
 def bootstrap_sem(spark: SparkSession, sf_dir: str, draws: int = 20) -> DataFrame:
     """Mean and standard error of each resampling of the samples' |m| by point, and chi_dis; a sample is drawn Poisson(1) times by a hash."""
-    from latticework.jobs.registry import POISSON
-
     own = thermal(values(spark, sf_dir)).select("f", "t", "s", "a1", "last")
     rep = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = lattice.uniform(F.col("rep"), F.col("s")) / F.lit(float(2**32))
@@ -103,9 +103,7 @@ def valid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _occupied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    from latticework.jobs.registry import _lattice
-
-    table, length = _lattice(spark, sf_dir)
+    table, length = lattices(spark, sf_dir)
     return written(table), length
 
 
@@ -167,7 +165,7 @@ def oracles(sites: str, hashed: str, drawn: str) -> dict[str, str]:
         "order_parameter": "with c as (select f, t, q, (select count(*) from lineitem where l_returnflag = f and l_linestatus = t and l_linenumber = q) as n from (select distinct l_returnflag as f, l_linestatus as t from lineitem) p, (select unnest(range(1, 10)) as q) z) select f, t, round((max(n) - min(n)) / (select count(*) from lineitem where l_returnflag = f and l_linestatus = t), 9) as m, round(max(case when q = 1 then n end) / (select count(*) from lineitem where l_returnflag = f and l_linestatus = t), 9) as first from c group by f, t",
         "imbalance": "select l_suppkey as g, round(coalesce(sum(l_quantity) filter (l_linestatus = 'O'), 0) * 2 / sum(l_quantity) - 1, 9) as r from lineitem group by 1",
         "size_statistics": f"select l, count(*) as densities, min(n) as least, max(n) as most, cast(sum(n) as bigint) as n from ({point}) p group by l",
-        "zero_ratios": "with z as (select l_suppkey, sum((l_linestatus = 'O' and l_discount < 0.005)::int) / nullif(sum((l_linestatus = 'O')::int), 0) as a, sum((l_linestatus <> 'O' and l_discount < 0.005)::int) / nullif(sum((l_linestatus <> 'O')::int), 0) as b, sum((l_discount < 0.005)::int) / count(*) as c from lineitem group by 1) select " + ", ".join(f"round(avg({c}), 9) as mean_{c}, round(coalesce(stddev_samp({c}), 0), 9) as sd_{c}" for c in "abc") + " from z",
+        "zero_ratios": "with z as (select l_suppkey, count(*) filter (l_discount < 0.005) / count(*) as a, count(*) filter (l_discount >= 0.005 and l_linestatus = 'O') / count(*) as b, count(*) filter (l_discount >= 0.005 and l_linestatus <> 'O') / count(*) as c, avg(l_quantity) as d, coalesce(stddev_samp(l_quantity), 0) as e from lineitem group by 1) select " + ", ".join(f"round(avg({c}), 9) as mean_{c}, round(coalesce(stddev_samp({c}), 0), 9) as sd_{c}" for c in "abcde") + " from z",
         "bootstrap_sem": f"""with r as (select f, t, rep, a1, last, {drawn} as w from (select *, {hashed} / 4294967296.0 as u from ({therm}) th, (select unnest(range(20)) as rep) z) y),
             s as (select f, t, rep, sum(w) as drawn, sum(w * a1) / nullif(sum(w), 0) as mean, max(last) as v from r group by 1, 2, 3),
             q as (select s.f, s.t, s.rep, any_value(drawn) as drawn, any_value(mean) as mean, any_value(v) as v, sum(w * (a1 - mean) * (a1 - mean)) / nullif(any_value(drawn), 0) as spread from r join s on r.f = s.f and r.t = s.t and r.rep = s.rep group by 1, 2, 3)

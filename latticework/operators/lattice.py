@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.durable import discard, written_at
-from latticework.operators.components import connected_components
+from latticework.functions.durable import discard, written, written_at
+from latticework.functions.hubs import with_hubs_apart
+from latticework.operators.components import connected_components, least_joined
 
 
 def uniform(seed: Column, key: Column) -> Column:
@@ -81,12 +86,57 @@ def k_core(own: DataFrame, length: int, k: int) -> DataFrame:
     return left
 
 
-def clusters(table: DataFrame, flag: str, length: int) -> DataFrame:
-    """``(sample_id, site, cluster)`` of the sites with ``flag`` set; cluster is the least site of its connected set."""
+def clusters(table: DataFrame, flag: str, length: int, tile: int = 256) -> DataFrame:
+    """``(sample_id, site, cluster)`` of the sites with ``flag`` set; cluster is the least site of its connected set.
+
+    Sites are joined inside squares of ``tile`` by ``tile`` sites, a task's bounded group each; only the sets that bonds between two squares tie together go through rounds.
+    """
     own = table.where(F.col(flag) == 1).select("sample_id", "site", "x", "y")
-    pairs = bonds(own, length).where("site < nb").join(own.select("sample_id", F.col("site").alias("nb")), ["sample_id", "nb"])
+    square = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in "xy"]
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        site = np.sort(rows["site"].to_numpy())
+        x, y = site % length, site // length
+        ends = []
+        for step, inside in ((1, x % tile != tile - 1), (length, y % tile != tile - 1)):
+            inside &= (x if step == 1 else y) != length - 1
+            a = np.flatnonzero(inside)
+            b = np.searchsorted(site, site[a] + step)
+            met = b < len(site)
+            met[met] = site[b[met]] == site[a[met]] + step
+            ends.append((a[met], b[met]))
+        least = least_joined(len(site), *(np.concatenate(e) for e in zip(*ends)))
+        return pd.DataFrame({"sample_id": rows["sample_id"].iloc[0], "site": site, "label": site[least]})
+
+    kind = dict(own.dtypes)["sample_id"]
+    near = written(own.select("*", *square).groupBy("sample_id", "tx", "ty").applyInPandas(join, f"sample_id {kind}, site long, label long"))
+    xy = near.select("*", (F.col("site") % length).alias("x"), F.expr(f"site div {length}").alias("y"))
+    border = " or ".join(f"{c} % {tile} in (0, {tile - 1}) or {c} = {length - 1}" for c in "xy")
+    rim = written(xy.where(border))
     size = length * length
     node = lambda c: (F.col("sample_id") * size + F.col(c)).cast("long")
-    found = connected_components(pairs.select(node("site").alias("src"), node("nb").alias("dst")))
-    found = found.select(F.expr(f"cast(node div {size} as int)").alias("sample_id"), (F.col("node") % size).alias("site"), (F.col("component") % size).alias("cluster"))
-    return own.join(found, ["sample_id", "site"], "left").select("sample_id", "site", F.coalesce("cluster", "site").alias("cluster"))
+    ties = bonds(rim, length).where("site < nb").join(rim.select("sample_id", F.col("site").alias("nb"), F.col("label").alias("label2")), ["sample_id", "nb"])
+    ties = ties.join(rim.select("sample_id", "site", "label"), ["sample_id", "site"]).where("label <> label2")
+    found = connected_components(ties.select(node("label").alias("src"), node("label2").alias("dst")), in_task=500_000)
+    found = found.select(F.expr(f"cast(node div {size} as {kind})").alias("sample_id"), (F.col("node") % size).alias("label"), (F.col("component") % size).alias("cluster"))
+    return near.join(found, ["sample_id", "label"], "left").select("sample_id", "site", F.coalesce("cluster", "label").alias("cluster"))
+
+
+def bipartite_graph(own: DataFrame, length: int, limit: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    """``(node, side, cluster, piece)`` and ``(u, v)``: the sites of ``own(sample_id, site, cluster)`` on a lattice of even ``length``, and their bonds from side 0 of the checkerboard to side 1.
+
+    A node is ``sample_id * length^2 + site``; a cluster with over ``limit`` sites is cut into squares of that many, its pieces.
+    """
+    if length % 2:
+        raise ValueError("a periodic lattice of odd length has no two sides")
+    size, width = length * length, max(1, isqrt(limit))
+    node = (F.col("sample_id").cast("long") * size + F.col("site")).alias("node")
+    xy = own.select("sample_id", "site", (F.col("site") % length).alias("x"), F.expr(f"site div {length}").alias("y"), node, parity(length).cast("int").alias("side"), (F.col("sample_id").cast("long") * size + F.col("cluster")).alias("cluster"))
+    xy = written(xy)
+    sizes = xy.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    cut = with_hubs_apart(xy, sizes.withColumn("large", F.col("n") > limit), "cluster", "n", xy.count())
+    tile = F.xxhash64("cluster", F.floor(F.col("x") / width), F.floor(F.col("y") / width))
+    vertices = cut.select("node", "side", "cluster", F.when(F.col("large"), tile).otherwise(F.col("cluster")).alias("piece"))
+    ends = xy.select("sample_id", F.col("site").alias("nb"), F.col("node").alias("v"))
+    edges = bonds(xy.where("side = 0"), length).join(ends, ["sample_id", "nb"])
+    return vertices, edges.select((F.col("sample_id").cast("long") * size + F.col("site")).alias("u"), "v")
