@@ -24,3 +24,18 @@ def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "place")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{name}_{k}"))
     return table.join(moved, same).withColumn(name, F.col(at) + F.col(f"{name}_move")).select(*rows.columns, name)
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """``(*keys, name, n)``: the value of rank ``floor(q * (n - 1))``, from 0, among the ``n`` values of a key that aren't null: a value that occurs, never one between two.
+
+    Values are numbered by ranges, so no task and no list holds all of a key's; a key without values has no row.
+    """
+    if not 0 <= q <= 1:
+        raise ValueError("q must lie between 0 and 1")
+    own = rows.select(*keys, F.col(value).alias(name)).where(F.col(name).isNotNull())
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*[F.col(k).alias(f"{k}_") for k in keys], "n", F.floor(F.lit(q) * (F.col("n") - 1)).alias("rank"))
+    same = F.col("place") == F.col("rank")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return numbered(own, keys, [name]).join(counts, same).select(*keys, name, "n")
