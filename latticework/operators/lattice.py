@@ -140,3 +140,18 @@ def bipartite_graph(own: DataFrame, length: int, limit: int = 65_536) -> tuple[D
     ends = xy.select("sample_id", F.col("site").alias("nb"), F.col("node").alias("v"))
     edges = bonds(xy.where("side = 0"), length).join(ends, ["sample_id", "nb"])
     return vertices, edges.select((F.col("sample_id").cast("long") * size + F.col("site")).alias("u"), "v")
+
+
+def remaining(table: DataFrame, length: int, k: int) -> DataFrame:
+    """``table(sample_id, site, x, y, occ)`` with ``remain``: 1 for the sites that are neither blocked nor cut off and lie in their sample's largest such cluster.
+
+    Blocked sites have ``k`` or more occupied neighbours; of the others, those go of which no neighbour stays (a neighbour that is blocked doesn't count); of equally large clusters the one with
+    the least site stays.
+    """
+    one = neighbour_sum(table, "occ", length, "_near").withColumn("_open", (F.col("_near") < k).cast("int"))
+    two = written(neighbour_sum(one, "_open", length, "_left").withColumn("_open", F.when(F.col("_left") > 0, F.col("_open")).otherwise(0)))
+    found = written(clusters(two, "_open", length))
+    sizes = found.groupBy("sample_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy("sample_id").agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
+    inside = found.join(best, ["sample_id", "cluster"], "left_semi").select("sample_id", "site", F.lit(1).alias("remain"))
+    return two.select(*table.columns).join(inside, ["sample_id", "site"], "left").withColumn("remain", F.coalesce("remain", F.lit(0)))
