@@ -65,7 +65,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", i
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     e, at, before = _told(_ordered(e))
-    if before[0] <= in_task:
+    if 0 < before[0] <= in_task:
         return e.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(joined_sets, "node long, component long")
     while before[0]:
         large, large_at = written_at(_ordered(_large_star(e, before[0])))
