@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import written
 from latticework.functions.hubs import with_hubs_apart
 
 
+#: Rows of a driver's table that are still broadcast, of some 100 bytes each; beyond, it is shuffled.
+MOST_BROADCAST = 500_000
+
+
 def longest_first(classes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
     """How many groups of each class ``(size, number of groups)`` go to each shard.
 
@@ -45,12 +49,6 @@ def longest_first(classes: list[tuple[int, int]], shards: int) -> dict[int, list
     return dealt
 
 
-def size_class(size: Column, exact: int = 1 << 16) -> Column:
-    """``size`` itself up to ``exact``; above, its largest lower number of twelve binary digits, so that classes are bounded in number."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) - 11)
-    return F.when(size <= exact, size).otherwise((F.floor(size / step) * step).cast("long"))
-
-
 def _ranked(table: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """``table`` written with ``part`` and ``nth`` (from 0 in its part), and ``(keys, part, n)``: how many rows a part has of each key.
 
@@ -64,11 +62,11 @@ def _ranked(table: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, D
 def group_shards(groups: DataFrame, shards: int) -> DataFrame:
     """``(g, shard)`` for ``groups(g, size)``, in longest-processing-time order.
 
-    The driver gets one row for each size class (at most some 65,536 and 2,048 for each doubling above that) and part of it. Within a class, groups count
-    as equal; which of them goes where is their rank by ``g``.
+    The driver gets one row for each different size and part that has it. Sizes that differ add up to at least half the square of their number, so there are fewer than the
+    square root of twice all bytes. Of groups of one size, which one goes where is their rank by ``g``.
     """
     spark = groups.sparkSession
-    ranked, counts = _ranked(groups.select("g", size_class(F.col("size")).alias("cls")), ["cls"], "g")
+    ranked, counts = _ranked(groups.select("g", F.col("size").alias("cls")), ["cls"], "g")
     counts = sorted((r["cls"], r["part"], r["n"]) for r in counts.collect())
     total: dict[int, int] = {}
     starts = []
@@ -78,7 +76,7 @@ def group_shards(groups: DataFrame, shards: int) -> DataFrame:
     dealt = longest_first(list(total.items()), shards)
     bounds = {cls: [sum(took[: s + 1]) for s in range(shards)] for cls, took in dealt.items()}
     to = spark.createDataFrame([(cls, part, first, bounds[cls]) for cls, part, first in starts] or [(0, 0, 0, [0])], "cls long, part int, first long, bounds array<long>")
-    placed = ranked.join(F.broadcast(to), ["cls", "part"])
+    placed = ranked.join(F.broadcast(to) if len(starts) <= MOST_BROADCAST else to, ["cls", "part"])
     shard = F.size(F.filter("bounds", lambda b: b <= F.col("first") + F.col("nth")))
     return placed.select("g", shard.cast("int").alias("shard"))
 
@@ -87,8 +85,7 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     """One row ``(doc_id, size, text_crc32, shard, slot)`` for each row of ``docs``.
 
     Size is the UTF-8 bytes of the text (null: none) and 1. Rows of equal text (null and empty are equal) stay
-    together. Their groups, by their summed sizes, largest first, go to the least-loaded shard; sizes above 65,536
-    count by their first twelve binary digits. Slots count gapless from 0 in each shard, in no given order. Only ids, sizes and
+    together. Their groups, by their summed sizes, largest first, go to the least-loaded shard. Slots count gapless from 0 in each shard, in no given order. Only ids, sizes and
     hashes are shuffled, never texts. A null doc_id is an id like any other; repeated rows have their own
     slots; other columns are ignored; empty in, empty out.
     """

@@ -360,10 +360,25 @@ def test_sharding_follows_the_plain_schedule(spark):
     assert {r["shard"]: r["n"] for r in shards} == dict(load)
 
 
-def test_size_classes(spark):
-    sizes = [1, 65_536, 65_537, 100_000, 131_072, 131_073, 1 << 40, (1 << 40) + 7]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "size long").select(sharding.size_class(F.col("size"))).collect()]
-    assert all(c == x if x <= 65_536 else x * (1 - 2**-11) < c <= x for c, x in zip(got, sizes))
+def test_sharding_keeps_large_sizes_exact(spark):
+    """Sizes beyond 65,536 that differ by one byte count as they are, broadcast or not."""
+    rng = random.Random(9)
+    texts = ["y" * (70_000 + rng.randint(0, 40)) + str(i) for i in range(60)] + ["z" * 131_071, "z" * 131_072] + ["w" * rng.randint(0, 9) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 1
+    want = plain_longest_first(Counter(groups.values()).items(), 8)
+    loads = sorted(sum(size * n[s] for size, n in want.items()) for s in range(8))
+    for most in (sharding.MOST_BROADCAST, 0):
+        before, sharding.MOST_BROADCAST = sharding.MOST_BROADCAST, most
+        try:
+            load = Counter()
+            for r in sharding.places(df).collect():
+                load[r["shard"]] += r["size"]
+        finally:
+            sharding.MOST_BROADCAST = before
+        assert sorted(load.values()) == loads
 
 
 def test_empty_tables(spark, none):
