@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.durable import written
+from latticework.functions.durable import Growing, written
 from latticework.llm.spans import merged, replaced
 
 #: A-Z in lower case, other ASCII that is no letter or digit as a blank, the rest as it is.
@@ -117,7 +118,8 @@ def places(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple], width: int) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with their hits, and the broadcast that their tasks read."""
     shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     pair = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "first", "last")]))
 
@@ -135,7 +137,7 @@ def _scan(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64()), pa.array(spans, pair), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names[1:], "n_words", "spans", "items"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
-    return docs.mapInArrow(run, f"{kept}, n_words long, spans {SPANS}, items array<long>")
+    return docs.mapInArrow(run, f"{kept}, n_words long, spans {SPANS}, items array<long>"), shared
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, carry: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -145,21 +147,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (a shorter item is one window); items: ids of the items that own them, sorted. Null and wordless texts have
     no hits; items without words, or with a null id, have no windows; other columns are ignored; empty
     tables and repeated rows are no special case. The items are broadcast in slices whose texts have about ``slice_bytes`` bytes
-    (a longer item is a slice of its own): their number follows the benchmark, and each reads the documents once more.
+    (a longer item is a slice of its own), one after another, each slice's hits written before the next: their number follows the benchmark, and each reads the documents once more.
     """
     columns = [F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id")]
     narrow = docs.select(*columns, *([F.struct(*docs.columns).alias("row")] if carry else []))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total <= slice_bytes:
-        return _scan(narrow, [tuple(r) for r in items.collect()], width)
+        return _scan(narrow, [tuple(r) for r in items.collect()], width)[0]
     slices = -(-total * 2 // slice_bytes)
     narrow = written(narrow.withColumn("uid", F.monotonically_increasing_id()))
     own = F.pmod(F.xxhash64("item"), F.lit(slices))
-    found = None
+    hits = Growing(docs.sparkSession, f"uid long, n_words long, spans {SPANS}, items array<long>")
     for s in range(slices):
-        one = _scan(narrow.select("text", "uid"), [tuple(r) for r in items.where(own == s).collect()], width)
-        found = one if found is None else found.unionByName(one)
+        one, shared = _scan(narrow.select("text", "uid"), [tuple(r) for r in items.where(own == s).collect()], width)
+        hits.add(one.where(F.lit(s == 0) | (F.size("spans") > 0)))  # every row once, for its number of words
+        shared.destroy()
+    found = hits.table()
     found = found.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     found = found.withColumn("spans", merged("spans", [("start", "end"), ("first", "last")]))
     return narrow.drop("text").join(found, "uid").drop("uid")
