@@ -128,7 +128,20 @@ def response_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (digraph_components, digraph_levels, core_decomposition, ground_state_counts, core_states, site_responses, response_report)}
+def response_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all samples, one row: points, shares without and with a preference, mean changes with their deviation over the samples, and the same of the largest clusters."""
+    report = written(response_report(spark, sf_dir))
+    mean = lambda c, where: F.round(F.coalesce(F.avg(F.when(F.col("largest") == where, F.col(c))), F.lit(0.0)), 9)
+    deviation = lambda c: F.round(F.coalesce(F.stddev_samp(F.when(~F.col("largest"), F.col(c))), F.lit(0.0)), 9)
+    shares = [("zero", "no_preference"), ("other_occupied", "prefers_occupied"), ("other_empty", "prefers_empty")]
+    return report.agg(
+        F.count_if(~F.col("largest")).alias("samples"), F.sum(F.when(~F.col("largest"), F.col("n"))).alias("points"), *[mean(c, False).alias(k) for c, k in shares],
+        *[x for c in ("number", "energy") for x in (mean(f"mean_{c}", False).alias(f"mean_{c}"), deviation(f"mean_{c}").alias(f"sd_{c}"))],
+        mean("n", True).alias("largest_size"), *[mean(c, True).alias(f"largest_{k}") for c, k in shares],
+    )
+
+
+QUERIES = {q.__name__: q for q in (digraph_components, digraph_levels, core_decomposition, ground_state_counts, core_states, site_responses, response_report, response_summary)}
 
 
 def oracles(clusters: str, hashed: str) -> dict[str, str]:

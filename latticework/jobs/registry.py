@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.jobs import decomposition, dynamics, grids, reports, scaling, series, statistics, tables
+from latticework.jobs import blocks, decomposition, dynamics, grids, reports, scaling, series, statistics, tables
 from latticework.jobs.inputs import DENSITY, POISSON, SAMPLES, active_clusters, lattices
 from latticework.jobs.statistics_sql import QUERIES as STATISTICS
 from latticework.operators import lattice, matching
@@ -95,7 +95,7 @@ QUERIES = {
     "lattice_rules": lattice_rules, "checkerboard_counts": checkerboard_counts, "bond_energy": bond_energy, "coarse_field": coarse_field,
     "sublattice3_counts": sublattice3_counts, "cluster_sizes": cluster_sizes, "largest_cluster": largest_cluster, "mis_observables": mis_observables,
     "bootstrap_hash": bootstrap_hash,
-} | series.QUERIES | statistics.QUERIES | tables.QUERIES | reports.QUERIES | dynamics.QUERIES | decomposition.QUERIES | scaling.QUERIES | grids.QUERIES
+} | series.QUERIES | statistics.QUERIES | tables.QUERIES | reports.QUERIES | dynamics.QUERIES | decomposition.QUERIES | scaling.QUERIES | grids.QUERIES | blocks.QUERIES
 
 _HASH = "('0x' || substr(md5(cast({0} as varchar) || '-' || cast({1} as varchar)), 1, 8))::bigint"
 _SITES = f"""with size as (select cast(floor(floor(sqrt(count(*))) / 2) * 2 as bigint) as l, min(o_orderkey) as low from orders),
@@ -127,4 +127,4 @@ ORACLES = {
         select samples, round(m1, 9) as m1, round(m2, 9) as m2, round(m4, 9) as m4, round(case when m2 > 1e-15 then 1 - m4 / (3 * m2 * m2) else 0 end, 9) as binder from m""",
     "bootstrap_hash": f"""select rep, o_orderstatus, sum(w) as drawn, round(sum(w * n) / nullif(sum(w), 0), 9) as mean from (select rep, o_orderstatus, n, {_DRAWN} as w from (
         select r.rep, o_orderstatus, n, {_HASH.format('r.rep', 'l_orderkey')} / 4294967296.0 as u from (select l_orderkey, count(*) as n from lineitem group by 1) c join orders on o_orderkey = l_orderkey, (select unnest(range(20)) as rep) r) q) z group by 1, 2""",
-} | series.ORACLES | tables.ORACLES | reports.oracles(_SITES, _HASH.format('rep', 's'), _DRAWN) | dynamics.oracles(_SITES, _HASH) | decomposition.oracles(_CLUSTERS, _HASH) | scaling.oracles(_HASH) | grids.oracles(_SITES, _HASH) | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}
+} | series.ORACLES | tables.ORACLES | reports.oracles(_SITES, _HASH.format('rep', 's'), _DRAWN) | dynamics.oracles(_SITES, _HASH) | decomposition.oracles(_CLUSTERS, _HASH) | scaling.oracles(_HASH) | grids.oracles(_SITES, _HASH) | blocks.oracles(_SITES, _HASH) | {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in STATISTICS.items()}
