@@ -102,6 +102,28 @@ def core_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy(_at("weak", n)[0].alias("sample_id"), "components", "size").agg(F.count(F.lit(1)).alias("states"))
 
 
+def drawn_ground_states(spark: SparkSession, sf_dir: str, draws: int = 16) -> DataFrame:
+    """By sample and draw, of ground states drawn with equal probability: sites of side 0 and of side 1 in the state, and their shares' difference R."""
+    solved, edges, n = solved_lattices(spark, sf_dir)
+    core, links = pairing.dependencies(solved, edges)
+    links, parts = written(links), solved.select("node", F.col("cluster").alias("part"))
+    found = written(digraph.strong_components(links, core, parts))
+    dag = written(digraph.condensation(links, found))
+    weak = written(digraph.weak_components(dag, found.select(F.col("component").alias("node")).distinct(), parts).withColumnRenamed("component", "weak"))
+    weights = found.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    sample = lambda c: _at(c, n)[0].alias("sample_id")
+    # A pair depends on the pairs at the neighbours of its vertex of side 0: that vertex is in the state only if theirs are, so a closed set holds the pairs whose vertex of side 1 is in.
+    inside = closed_sets.samples(weak, dag, draws).join(weights.withColumnRenamed("component", "node"), "node").groupBy(sample("node"), "draw").agg(F.sum("weight").alias("k"))
+    fixed = solved.groupBy(sample("node")).agg(
+        *[F.count_if(F.expr(f"side = {p}")).alias(f"n_{q}") for p, q in ((0, "a"), (1, "b"))], *[F.count_if(F.expr(f"side = {p} and state = 1")).alias(f"in_{q}") for p, q in ((0, "a"), (1, "b"))],
+        F.count_if(F.expr("side = 0 and state is null")).alias("pairs"), F.count_if(F.col("mis") == 1).alias("size"),
+    )
+    every = fixed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(inside, ["sample_id", "draw"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    a, b = F.col("in_a") + F.col("pairs") - F.col("k"), F.col("in_b") + F.col("k")
+    share = lambda x, c: F.coalesce(F.try_divide(x, F.col(c)), F.lit(0.0))
+    return every.select("sample_id", "draw", a.alias("a"), b.alias("b"), "size", F.round(share(a, "n_a") - share(b, "n_b"), 9).alias("r"))
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     solved, edges, n = solved_lattices(spark, sf_dir)
     sizes = solved.groupBy(_at("cluster", n)[0].alias("s"), "cluster").agg(F.count(F.lit(1)).alias("k"))
@@ -141,7 +163,7 @@ def response_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (digraph_components, digraph_levels, core_decomposition, ground_state_counts, core_states, site_responses, response_report, response_summary)}
+QUERIES = {q.__name__: q for q in (digraph_components, digraph_levels, core_decomposition, ground_state_counts, core_states, drawn_ground_states, site_responses, response_report, response_summary)}
 
 
 def oracles(clusters: str, hashed: str) -> dict[str, str]:

@@ -5,7 +5,8 @@ Weak components are independent, so each is counted on its own and a task holds
 
 from __future__ import annotations
 
-from math import log10
+import random
+from math import log10, prod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -74,22 +75,90 @@ def counted(parents: dict[int, set[int]], most_states: int = 200_000) -> tuple[i
     return sum(states.values()), widest
 
 
-def _split(parents: dict[int, set[int]], most_states: int, widest: int) -> tuple[int, int]:
-    above = {}
+def _pivot(parents: dict[int, set[int]]) -> tuple[set[int], set[int]]:
+    """Ancestors and descendants, both with the node itself, of the node of which both are many."""
+    above: dict[int, set[int]] = {}
     for n in ordered(parents):
         above[n] = set().union({n}, *(above[p] for p in parents[n]))
-    below = {n: {m for m in parents if n in above[m]} for n in parents}
+    below: dict[int, set[int]] = {n: set() for n in parents}
+    for m, own in above.items():
+        for n in own:
+            below[n].add(m)
     n = max(parents, key=lambda n: (min(len(above[n]), len(below[n])), len(above[n]) + len(below[n]), -n))
+    return above[n], below[n]
+
+
+def _without(parents: dict[int, set[int]], gone: set[int]) -> list[dict[int, set[int]]]:
+    return _parts({m: own - gone for m, own in parents.items() if m not in gone})
+
+
+def _split(parents: dict[int, set[int]], most_states: int, widest: int) -> tuple[int, int]:
     total = 0
-    for gone in (above[n], below[n]):
+    for gone in _pivot(parents):
         ways = 1
-        for part in _parts({m: own - gone for m, own in parents.items() if m not in gone}):
+        for part in _without(parents, gone):
             k, w = counted(part, most_states)
             ways, widest = ways * k, max(widest, w)
         total += ways
     return total, widest
 
 
+def drawn(parents: dict[int, set[int]], draws: int, rng: random.Random, most_states: int = 200_000) -> list[set[int]]:
+    """``draws`` closed sets, each one of all with equal probability: states backwards from the last node, by their exact numbers of ways.
+
+    Beyond ``most_states`` a draw first chooses between the sets with and without one node, by their exact numbers, then draws in what is left.
+    """
+    order, left = ordered(parents), {n: 0 for n in parents}
+    for own in parents.values():
+        for p in own:
+            left[p] += 1
+    layers, states = [], {frozenset(): 1}
+    for n in order:
+        gone = set()
+        for p in parents[n]:
+            left[p] -= 1
+            if not left[p]:
+                gone.add(p)
+        came: dict[frozenset, list[tuple[frozenset, bool, int]]] = {}
+        for held, ways in states.items():
+            key = held - gone
+            came.setdefault(key, []).append((held, False, ways))
+            if parents[n] <= held:
+                came.setdefault(key | {n} if left[n] else key, []).append((held, True, ways))
+        states = {key: sum(w for _, _, w in own) for key, own in came.items()}
+        if len(states) > most_states:
+            return _drawn_apart(parents, draws, rng, most_states)
+        layers.append((n, came))
+    out = []
+    for _ in range(draws):
+        at, chosen = frozenset(), set()
+        for n, came in reversed(layers):
+            pick = rng.randrange(sum(w for _, _, w in came[at]))
+            for held, inside, ways in came[at]:
+                pick -= ways
+                if pick < 0:
+                    break
+            at = held
+            if inside:
+                chosen.add(n)
+        out.append(chosen)
+    return out
+
+
+def _drawn_apart(parents: dict[int, set[int]], draws: int, rng: random.Random, most_states: int) -> list[set[int]]:
+    above, below = _pivot(parents)
+    inside, outside = _without(parents, above), _without(parents, below)
+    with_it, without_it = (prod(counted(part, most_states)[0] for part in parts) for parts in (inside, outside))
+    taken = [rng.randrange(with_it + without_it) < with_it for _ in range(draws)]
+    out: list[set[int]] = [set(above) if t else set() for t in taken]
+    for side, parts in ((True, inside), (False, outside)):
+        which = [i for i, t in enumerate(taken) if t == side]
+        for part in parts if which else ():
+            for i, own in zip(which, drawn(part, len(which), rng, most_states)):
+                out[i] |= own
+    return out
+
+
 def _parts(parents: dict[int, set[int]]) -> list[dict[int, set[int]]]:
     near: dict[int, set[int]] = {n: set(own) for n, own in parents.items()}
     for n, own in parents.items():
@@ -153,3 +222,17 @@ def states(nodes: DataFrame, dag: DataFrame, most_nodes: int = 20) -> DataFrame:
         return pd.DataFrame(found, columns=["weak", "state", "size"])
 
     return _tasks(nodes, dag).groupBy("task").applyInPandas(solve, "weak long, state long, size int")
+
+
+def samples(nodes: DataFrame, dag: DataFrame, draws: int, seed: int = 0, most_states: int = 200_000) -> DataFrame:
+    """``(weak, draw, node)``: the nodes of ``draws`` closed sets of each weak component, each set with equal probability; an empty set has no row.
+
+    The numbers come from a generator of ``seed`` and the component, so a task that is run again draws the same. Draws of different components are independent: equal ``draw`` makes one
+    state of the whole.
+    """
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        found = [(weak, i, n) for weak, parents in _each(own) for i, chosen in enumerate(drawn(parents, draws, random.Random(f"{seed}-{weak}"), most_states)) for n in sorted(chosen)]
+        return pd.DataFrame(found, columns=["weak", "draw", "node"])
+
+    return _tasks(nodes, dag).groupBy("task").applyInPandas(solve, "weak long, draw int, node long")

@@ -109,6 +109,44 @@ def test_closed_sets_are_counted_and_listed():
         assert {closed_sets.counted(parents, most)[0] for most in (1, 3, 10**6)} == {len(want)}
 
 
+def test_closed_sets_are_drawn_alike():
+    """Each closed set comes as often as any other, whether or not the draw is split: a chi-square far from its tail."""
+    rng = random.Random(5)
+    for most in (10**6, 3, 1):
+        parents = {1: set(), 2: {1}, 3: {1}, 4: {2, 3}, 5: set(), 6: {5, 3}, 7: {6}}
+        order = closed_sets.ordered(parents)
+        want = closed_sets.listed(parents, order)
+        at = {x: 1 << i for i, x in enumerate(order)}
+        seen = dict.fromkeys(want, 0)
+        for chosen in closed_sets.drawn(parents, 200 * len(want), rng, most):
+            seen[sum(at[x] for x in chosen)] += 1
+        assert sum((k - 200) ** 2 / 200 for k in seen.values()) < len(want) + 5 * (2 * len(want)) ** 0.5
+
+
+def test_drawn_sets_are_ground_states(spark):
+    """A closed set of the core, with its pairs' vertices of side 1 in and those of the other pairs' side 0, is independent."""
+    length = 8
+    sites, table = site_table(spark, 7, length, 0.75)
+    near = plain_near(sites, length)
+    vertices, edges = lattice.bipartite_graph(lattice.clusters(table, "on", length), length)
+    solved = pairing.ground(vertices, edges)
+    core, links = pairing.dependencies(solved, edges)
+    found = digraph.strong_components(links, core)
+    dag = digraph.condensation(links, found)
+    weak = digraph.weak_components(dag, found.select(F.col("component").alias("node"))).withColumnRenamed("component", "weak")
+    sets = closed_sets.samples(weak, dag, 5).collect()
+    assert sorted(map(tuple, sets)) == sorted(map(tuple, closed_sets.samples(weak, dag, 5).collect()))
+    component, rows = {r["node"]: r["component"] for r in found.collect()}, solved.collect()
+    for draw in range(5):
+        closed = {r["node"] for r in sets if r["draw"] == draw}
+        inside = {r["node"] for r in rows if r["state"] == 1}
+        for r in core.collect():
+            inside.add(r["partner"] if component[r["node"]] in closed else r["node"])
+        assert len(inside) == sum(r["mis"] for r in rows)
+        at = lambda a: a[0] * length * length + a[1]
+        assert not any(at(a) in inside and at(b) in inside for a in near for b in near[a])
+
+
 def test_closed_set_tables(spark):
     nodes = spark.createDataFrame([(i, i // 10 * 10) for i in [*range(4), *range(10, 13), 20]], "node long, weak long")
     dag = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (10, 11), (10, 12)], "src long, dst long")
