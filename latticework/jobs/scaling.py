@@ -10,7 +10,7 @@ from latticework.jobs.inputs import SAMPLES
 from latticework.operators import collapse, lattice
 
 #: Densities of the curves, around the threshold of sites on a square lattice.
-DENSITIES = [round(0.5 + 0.025 * k, 3) for k in range(7)]
+DENSITIES = [round(0.56 + 0.01 * k, 2) for k in range(8)]
 
 
 def _curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def scaling_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collapse_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Critical density and exponents of the curves' collapse: best of the starts, with deviations and intervals over 20 draws."""
-    fits = written(collapse.collapse(_curves(spark, sf_dir).withColumn("curve", F.lit("largest cluster")), ["curve"], starts=4, draws=20, degree=6, floor=1e-6))
+    fits = written(collapse.collapse(_curves(spark, sf_dir).withColumn("curve", F.lit("largest cluster")), ["curve"], starts=4, draws=20, degree=8, floor=1e-6))
     return collapse.over_draws(collapse.best_starts(fits, ["curve"]), ["curve"])
 
 
