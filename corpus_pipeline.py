@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import MADE, discard, written
+from latticework.functions.hubs import listed
 from latticework.llm import best_fit_packing, decontaminate, quality_rules, secret_scan, simhash_dedup
 from latticework.llm.queries import word_tokenizer
 
@@ -51,7 +52,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near copies."""
     marked, key = _numbered(docs)
     first = simhash_dedup.first_of_similar(marked, id_col=key).select(F.col("doc_id").alias(key))
-    return marked.join(first, key, "left_semi").select(*docs.columns)
+    later = marked.select(key).join(first, key, "left_anti")  # ids alone are shuffled
+    return listed(marked, later, key, "left_anti").select(*docs.columns)
 
 
 @_tidy(2)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.durable import checkpointed, written
+from latticework.functions.hubs import listed
 from latticework.operators.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -288,22 +289,25 @@ def _truly_similar(k: int, similarity: float):
 def bands_of(sigs: DataFrame, bands: int, bucket_rows: int) -> DataFrame:
     """``(k1, k2, id, sig)``: each signature of ``bands`` bytes under the two-byte bands that it is compared in.
 
-    Band b has the bytes b and b + 1, round the end. A band value of more than ``bucket_rows`` signatures (or a
-    10,000th of all, so that the broadcast list of such values has at most 10,000 a band) is split: its signatures are compared where they agree in
-    one of the next ``bands // 2`` bands as well, which is so for all that agree in any two bands.
+    Band b has the bytes b and b + 1, round the end. The signatures of a band value with more than ``bucket_rows`` of them (or a
+    10,000th of all, so that the broadcast list of such values has at most 10,000 a band) are dealt by id into parts of half that size; k2 numbers
+    the pairs of parts, and each signature lies in all pairs of its own part. So all signatures that agree in a band meet, in buckets of a bounded size; the rows
+    of such a value grow with the square of its signatures over ``bucket_rows``.
     """
     twice = F.concat("sig", F.substring("sig", 1, 1))
     value = lambda b: F.conv(F.hex(F.substring(twice, b + 1, F.lit(2))), 16, 10).cast("int")
     number = F.array(*[value(F.lit(b)) for b in range(bands)])
-    keyed = sigs.select("id", "sig", number.alias("all")).select("id", "sig", "all", F.posexplode("all").alias("band", "value"))
+    keyed = sigs.select("id", "sig", F.posexplode(number).alias("band", "value"))
     limit = max(bucket_rows, sigs.count() // 10_000)
-    hot = checkpointed(keyed.groupBy("band", "value").count().where(F.col("count") > limit).select("band", "value", F.lit(True).alias("hot")))
+    hot = keyed.groupBy("band", "value").count().where(F.col("count") > limit)
+    hot = checkpointed(hot.select("band", "value", F.ceil(2 * F.col("count") / limit).cast("long").alias("parts")))
     k1 = (F.col("band") * (1 << 16) + F.col("value")).cast("long")
     if not hot.take(1):
         return keyed.select(k1.alias("k1"), F.lit(-1).cast("long").alias("k2"), "id", "sig")
-    keyed = keyed.join(F.broadcast(hot), ["band", "value"], "left")
-    other = F.transform(F.sequence(F.lit(1), F.lit(bands // 2)), lambda d: (d * (1 << 16) + F.get("all", (F.col("band") + d) % bands)).cast("long"))
-    second = F.when(F.col("hot"), other).otherwise(F.array(F.lit(-1).cast("long")))
+    keyed = keyed.join(F.broadcast(hot), ["band", "value"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("part"))
+    pairs = F.transform(others, lambda p: F.least(p, "part") * F.col("parts") + F.greatest(p, "part"))
+    second = F.when(F.col("parts").isNotNull(), pairs).otherwise(F.array(F.lit(-1).cast("long")))
     return keyed.select(k1.alias("k1"), F.explode(second).alias("k2"), "id", "sig")
 
 
@@ -336,8 +340,8 @@ def first_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = keyed.mapInArrow(_bucket_links(radii, rows_held), "src long, dst long, bits int")
     links = written(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "bits").distinct())
     doubtful = links.where(F.col("bits") > sure).select("src", "dst")
-    ids = doubtful.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    texts = narrow.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    ids = doubtful.select(F.explode(F.array("src", "dst")).alias("doc_id"))
+    texts = listed(narrow, ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     pairs = doubtful.join(texts.toDF("src", "a"), "src").join(texts.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
     checked = pairs.mapInArrow(_truly_similar(k, similarity), "src long, dst long")
     later = connected_components(links.where(F.col("bits") <= sure).select("src", "dst").unionByName(checked)).where("node <> component").select(F.col("node").alias("id"))

@@ -53,6 +53,23 @@ def test_a_large_group_of_near_copies_keeps_its_first(spark):
         assert kept == [3501, *range(9000, 9050)]
 
 
+def test_signatures_that_agree_in_one_crowded_band_alone_meet(spark):
+    rng = random.Random(3)
+    sigs = [(i, bytearray(rng.randrange(256) for _ in range(64))) for i in range(40)]
+    for _, s in sigs:
+        s[10:12] = b"ab"
+    df = spark.createDataFrame(sigs, "id long, sig binary")
+    met, most = set(), 0
+    buckets = {}
+    for r in simhash_dedup.bands_of(df, 64, 8).collect():
+        buckets.setdefault((r["k1"], r["k2"]), []).append(r["id"])
+    for (k1, _), ids in buckets.items():
+        if k1 >> 16 == 10:
+            met |= {(a, b) for a in ids for b in ids if a < b}
+            most = max(most, len(ids))
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)} and most <= 20
+
+
 def test_odd_rows(spark, docs, none):
     kept = [r[0] for r in simhash_dedup.first_of_similar(docs).collect()]
     assert len(kept) == len(set(kept)) and None not in kept
