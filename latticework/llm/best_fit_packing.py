@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ class WordEncoder:
 
     The tokenizer lower-cases, drops white space before it looks at anything else, and parts letters from
     punctuation; so a text's ids are those of its chunks in order, and a chunk of letters and closing
-    punctuation has the ids of the two. Only what wasn't seen before is given to the tokenizer, words of letters joined to one
-    string, whose ids are parted at the tokens that end a word.
+    punctuation has the ids of the two. Only what wasn't seen before is given to the tokenizer: words of a to z to its model, other words of letters joined to one
+    string; ids are parted at the tokens that end a word.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -44,28 +45,39 @@ class WordEncoder:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.parts[w] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def cut(self, words: list[str], ids: list[int]) -> None:
+        """Parts the ids of joined words at the tokens that end a word."""
+        raw = np.array(ids, dtype="<u4")
+        at = [0, *(4 * (np.flatnonzero(self.ends_word[raw]) + 1)).tolist()] if len(raw) else [0]
+        if len(at) == len(words) + 1:
+            self.parts.update(zip(words, map(raw.tobytes().__getitem__, map(slice, at, at[1:]))))
+        else:  # a letter that the tokenizer takes for something else
+            self.alone(words)
+
     def learn(self, chunks: list[str]) -> None:
         parts, known = self.parts, self.known
-        halves = [(w, core, w[len(core) :]) for w in chunks for core in (w.rstrip(CLOSING),)]
-        plain = [x for x in halves if x[1].isalpha()]
-        new = list({c for _, c, _ in plain if c not in parts})
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            cut = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
-            if len(cut) == len(new) + 1:
-                raw = ids.tobytes()
-                parts.update(zip(new, map(raw.__getitem__, map(slice, cut, cut[1:]))))
-            else:  # a letter that the tokenizer takes for something else
-                self.alone(new)
-        self.alone(list({t for _, _, t in plain if t and t not in parts} | {w for w, c, _ in halves if not c.isalpha() and w not in parts}))
-        for w, core, tail in halves:
-            known[w] = (parts[core] + parts[tail] if tail else parts[core]) if core.isalpha() else parts[w]
+        words, others = [w for w in chunks if w.isalpha()], [w for w in chunks if not w.isalpha()]
+        halves = [w.rstrip(CLOSING) for w in others]
+        closed, odd = [w for w, c in zip(others, halves) if c.isalpha()], [w for w, c in zip(others, halves) if not c.isalpha()]
+        cores = [c for c in halves if c.isalpha()]
+        tails = [w[len(c) :] for w, c in zip(closed, cores)]
+        new = list(set(words).union(cores).difference(parts))
+        plain, foreign = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
+        tokens = self.tokenizer.model.tokenize  # words of a to z are left as they are by all that comes before the model
+        self.cut(plain, [t.id for w in plain for t in tokens(w)])
+        if foreign:
+            self.cut(foreign, self.tokenizer.encode_batch_fast([" ".join(foreign)], add_special_tokens=False)[0].ids)
+        self.alone(list(set(tails).union(odd).difference(parts)))
+        of = parts.__getitem__
+        known.update(zip(words, map(of, words)))
+        known.update(zip(odd, map(of, odd)))
+        known.update(zip(closed, map(add, map(of, cores), map(of, tails))))
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """Of each text the little-endian unsigned 32-bit ids, the end id last."""
         split = [(t or b"").translate(FOLD).decode().split(" ") for t in texts]
-        every = {w for words in split for w in words}
-        new = [w for w in every if w not in self.known]
+        every = set().union(*split)
+        new = list(every.difference(self.known))
         if new:
             if len(self.known) + len(new) > REMEMBERED or len(self.parts) + len(new) > 2 * REMEMBERED:
                 new = list(every)
