@@ -131,6 +131,21 @@ def test_passages_whose_halves_others_hold(spark):
     assert all(found[kind] >= least[kind] for kind in kinds), found
 
 
+def test_no_pair_of_different_texts_is_left_out(spark):
+    """Groups of 10 and of 50 documents, each with its own changes of a text and no equal run of 30 words: all pairs are passages, not only those with the first and the one before."""
+    texts, expected = [], set()
+    for base, many in ((0, 10), (1000, 50)):
+        p = words(100, 21 + base)
+        for i in range(base, base + many):
+            own = list(p)
+            for at in range(10, 100, 20):
+                own[at + random.Random(i + at).randrange(4)] = f"own{i}"
+            texts.append((i, " ".join(words(20, 5000 + i) + own + words(20, 9000 + i))))
+            expected |= {(i, j) for j in range(base, i)}
+    got = {(r["doc_id"], r["other_doc_id"]) for r in substring_dedup.passages(table(spark, texts)).collect()}
+    assert got == expected
+
+
 def test_passages_after_a_left_out_middle_and_next_to_each_other(spark):
     a, b, c = words(1000, 11), words(400, 12), words(400, 13)
     texts = [(1, " ".join(a)), (2, " ".join(a[:500] + a[600:])), (3, " ".join(b + c)), (4, " ".join(c + b))]
