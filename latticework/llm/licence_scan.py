@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions.durable import written
+
 # Well-known public notices, by licence family.
 TEMPLATES = {
     "apache": [
@@ -99,41 +100,66 @@ def terms(lines: DataFrame) -> DataFrame:
     return words.select(*[c for c in words.columns if c != "w"], F.explode(both).alias("term"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, max_paragraphs: int = 4000, false_share: float = 0.001) -> tuple[list[tuple[str, list[float]]], list[float], float]:
+def ordinary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(terms, half, n)``: how many lines of all texts, without those that have most of a template, have these terms of VOCABULARY; lines are halved by a hash of their text. The lines without terms are the row of no terms and half -1."""
+    docs = docs.where(F.col(text_col).isNotNull()).select(F.lit(0).alias("id"), F.col(text_col).cast("string").alias("text"))
+    some = docs.where(F.arrays_overlap(_split(F.col("text")), F.lit(sorted(CONTENT))))  # no other has a term
+    lines = paragraphs(some, "id", "text").withColumn("w", _split(F.col("paragraph")))
+    own = F.zip_with(F.col("w"), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    lines = lines.select(F.pmod(F.xxhash64("paragraph"), F.lit(2)).cast("int").alias("half"), F.sort_array(F.array_intersect(own, F.lit(VOCABULARY))).alias("terms")).where(F.size("terms") > 0)
+    counts = written(lines.groupBy("terms", "half").agg(F.count(F.lit(1)).alias("n")))
+    every = docs.agg(F.sum(F.size(F.split("text", "\n", -1))).alias("all"))
+    none = every.crossJoin(counts.agg(F.sum("n").alias("some"))).select(F.array().cast("array<string>").alias("terms"), F.lit(-1).alias("half"), (F.coalesce("all", F.lit(0)) - F.coalesce("some", F.lit(0))).alias("n"))
+    whole = F.greatest(*[F.size(F.array_intersect("terms", F.lit(_telling(t)))) / len(_telling(t)) for ts in TEMPLATES.values() for t in ts])
+    return counts.where(whole < 0.6).unionByName(none)
+
+
+def _scored(terms: Column, table: list, bias: list[float]) -> Column:
+    """The classes' scores of the sum of the terms' weights."""
+    of, lookup = F.lit([t for t, _ in table]), F.lit([w for _, w in table])
+    return F.aggregate(terms, F.lit(bias), lambda acc, t: F.zip_with(acc, F.element_at(lookup, F.array_position(of, t).cast("int")), lambda a, b: a + b))
+
+
+def _least_above(scores: DataFrame, allowed: float) -> float:
+    """The least of 0.5 and the values ``p`` above it that at most ``allowed`` rows, counted by ``n``, exceed; found by ever finer histograms of 4,096 bins."""
+    low, high, above = 0.5, 1.0, 0
+    while True:
+        place = F.least(F.floor((F.col("p") - low) * (4096 / (high - low))), F.lit(4095)) if high > low else F.lit(0)
+        rows = scores.where((F.col("p") > 0.5) & F.col("p").between(low, high)).groupBy(place.alias("at")).agg(F.sum("n").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).orderBy(F.desc("at")).collect()
+        for r in rows:
+            if above + r["n"] > allowed:
+                break
+            above += r["n"]
+        else:
+            return 0.5
+        if r["low"] == r["high"]:
+            return r["low"]
+        low, high = r["low"], r["high"]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: float = 2000.0, positives: float = 9.0, false_share: float = 0.001) -> tuple[list[tuple[str, list[float]]], list[float], float]:
     """Weights by term and class, the classes' intercepts, and the probability that a prediction needs.
 
-    Positives are the templates' sentences, alone and after ordinary words; the unknown class is a bounded sample, at most
-    ``max_paragraphs`` lines of about ``sample_docs`` documents drawn by a hash over all, without those that have most of a template. The
-    threshold leaves ``false_share`` of the half that isn't trained on above it. Null texts have no lines, rows equal in id and text are drawn all or none, lines
-    are taken in the order of a hash; without documents the unknown class is the empty line alone and the threshold 0.5.
+    Positives are the templates' sentences, each with the weight ``positives``. The unknown class has all lines of all texts, without those that have most of a template: those of
+    one half by a hash of the line are fitted, as sets of terms with their numbers, which are scaled to at most ``unknown`` together, so that many ordinary lines don't outweigh the
+    templates. The threshold leaves at most ``false_share`` of all lines of the other half above it, and is 0.5 at least. Lines without terms count for one half each.
+    Null texts have no lines; ids play no part; without documents the unknown class is the empty line alone and the threshold 0.5.
     """
     spark = docs.sparkSession
-    vocabulary = F.lit(VOCABULARY)
-    draw = F.pmod(F.xxhash64(F.lit("licence"), F.col(id_col), F.col(text_col).cast("string")), F.lit(1 << 62))
-    some = docs.where(draw < int((1 << 62) * min(1.0, sample_docs / max(1, docs.count()))))
-    lines = paragraphs(some, id_col, text_col).withColumn("w", _split(F.col("paragraph")))
-    own = F.zip_with(F.col("w"), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.select("paragraph", F.array_intersect(own, vocabulary).alias("terms"))
-    whole = F.greatest(*[F.size(F.array_intersect("terms", F.lit(_telling(t)))) / len(_telling(t)) for ts in TEMPLATES.values() for t in ts])
-    rows = lines.withColumn("whole", whole).orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_paragraphs).collect()  # a bounded sample
-    other = [r["terms"] for r in rows if r["whole"] < 0.6]
-    heads = [" ".join(r["paragraph"].split()[:12]) for r in rows if r["whole"] < 0.6][:8]
-    fit = [(0.0, t) for t in other[::2]] + [(0.0, [])]
-    for f, ts in TEMPLATES.items():
-        for t in ts:
-            fit += [(float(FAMILIES.index(f)), sorted(set(_telling(f"{h} {t}")) & set(VOCABULARY))) for h in ["", *heads]]
+    lines = written(ordinary(docs, text_col)).withColumn("n", F.when(F.col("half") == -1, F.col("n") / 2).otherwise(F.col("n").cast("double")))
+    fitted, held = lines.where("half <= 0"), lines.where("half <> 0")
+    total = fitted.agg(F.sum("n")).first()[0] or 0.0
+    templates = [(float(FAMILIES.index(f)), _telling(t), positives) for f, ts in TEMPLATES.items() for t in ts]
+    own = spark.createDataFrame([(0.0, [], 1.0), *templates], "label double, terms array<string>, weight double").coalesce(1)
     vectors = CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="terms", outputCol="features")
-    as_rows = lambda x: spark.createDataFrame(x, "label double, terms array<string>").coalesce(2)
-    model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial").fit(vectors.transform(as_rows(fit)))
+    rows = fitted.where("n > 0").select(F.lit(0.0).alias("label"), "terms", (F.col("n") * min(1.0, unknown / max(total, 1.0))).alias("weight")).unionByName(own)
+    model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", weightCol="weight").fit(vectors.transform(rows))
     weight = model.coefficientMatrix.toArray()
     table = [(t, [float(x) for x in weight[:, i]]) for i, t in enumerate(VOCABULARY)]
     bias = [float(x) for x in model.interceptVector.toArray()]
-    at = {t: np.array(w) for t, w in table}
-    scores = []
-    for t in other[1::2]:
-        z = np.exp((s := np.array(bias) + sum((at[x] for x in t), np.zeros(len(bias)))) - s.max())
-        scores.append(float(z[1:].max() / z.sum()))
-    return table, bias, max(0.5, float(np.quantile(scores, 1 - false_share)) if scores else 0.0)
+    z = held.select("n", _scored(F.col("terms"), table, bias).alias("z")).select("n", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("z"))
+    scores = z.select("n", (F.array_max(F.slice("z", 2, len(FAMILIES))) / F.aggregate("z", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return table, bias, _least_above(scores, false_share * (held.agg(F.sum("n")).first()[0] or 0.0))
 
 
 def scan(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.6) -> DataFrame:
@@ -150,11 +176,7 @@ def scan(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
     some = docs.where(F.arrays_overlap(_split(F.col(text_col).cast("string")), F.lit(sorted(CONTENT))))  # no other has a feature
     hits = terms(paragraphs(some, id_col, text_col)).join(F.broadcast(weights.select("term")), "term").distinct()
     found = hits.groupBy("uid", "paragraph_no").agg(F.first("doc_id").alias("doc_id"), F.collect_set("term").alias("found"))
-    of = F.lit([t for t, _ in table])
-    lookup = F.lit([w for _, w in table])
-    add = lambda acc, t: F.zip_with(acc, F.element_at(lookup, F.array_position(of, t).cast("int")), lambda a, b: a + b)
-    z = F.aggregate("found", F.lit(bias), add)
-    scores = found.select("doc_id", "paragraph_no", "found", z.alias("z"))
+    scores = found.select("doc_id", "paragraph_no", "found", _scored(F.col("found"), table, bias).alias("z"))
     out = scores.select("doc_id", "paragraph_no", "found", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("z"))
     out = out.select("doc_id", "paragraph_no", "found", F.slice("z", 2, len(FAMILIES)).alias("known"), F.aggregate("z", F.lit(0.0), lambda a, b: a + b).alias("total"))
     out = out.withColumn("probability", F.array_max("known") / F.col("total")).where(F.col("probability") >= limit)

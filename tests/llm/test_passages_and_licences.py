@@ -204,6 +204,23 @@ def test_licence_lines_are_found(spark, model):
     assert {r["family"] for r in got} == {next(iter(licence_scan.TEMPLATES))} and all(r["confirmed"] for r in got)
 
 
+def test_all_lines_are_learnt_from(spark):
+    rare = "this software is distributed by hand"
+    texts = [(i, "plain words\nmore of them") for i in range(5000)] + [(6000 + i, rare) for i in range(30)] + [(7000, LICENCE), (7001, None)]
+    df = table(spark, texts)
+    got = {tuple(r["terms"]): r["n"] for r in licence_scan.ordinary(df).collect()}
+    assert got[()] == 10_000 and len(got) == 2 and sum(got.values()) == 10_030
+    weights, bias, limit = licence_scan.train(df)
+    others, bias2, limit2 = licence_scan.train(df.withColumn("doc_id", df.doc_id + 10**6))  # no draw by ids
+    assert all(a[1] == pytest.approx(b[1], abs=1e-6) for a, b in zip(weights, others))
+    assert bias == pytest.approx(bias2, abs=1e-6) and limit == pytest.approx(limit2, abs=1e-6)
+
+
+def test_threshold_leaves_the_exact_share_above(spark):
+    scores = spark.createDataFrame([(0.2, 500.0), (0.6, 5.0), (0.7 + 1e-12, 2.0), (0.7, 3.0), (0.9, 1.0)], "p double, n double")
+    assert [licence_scan._least_above(scores, a) for a in (0, 1, 3, 6, 10.5, 11)] == [0.9, 0.7 + 1e-12, 0.7, 0.6, 0.6, 0.5]
+
+
 def test_licences_of_odd_rows(docs, none, model):
     assert licence_scan.scan(docs, model).count() == 0
     assert licence_scan.scan(none, model).count() == 0
