@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions.durable import written
+from latticework.operators.matching import neighbours
+
 
 def _closed(to: dict[int, int], near: dict[int, list[int]], w: int, gone: set[int], undo: dict[int, int | None]) -> None:
     """Match the open vertex ``w`` again by an augmenting path around ``gone``, if there is one."""
@@ -102,35 +106,72 @@ def response(x: int, near: dict[int, list[int]], side: dict[int, int], to: dict[
     return len(zero ^ before0) + len(one ^ before1), len(before0) - len(zero) + len(one) - len(before1)
 
 
-def site_responses(solved: DataFrame, edges: DataFrame, a_task: int = 1_000) -> DataFrame:
+class Near(dict):
+    """The neighbours of a node as a list, made from ``neighbours``' form when first asked for."""
+
+    def __init__(self, starts: np.ndarray, heads: np.ndarray):
+        self.starts, self.heads = starts, heads
+
+    def __missing__(self, a: int) -> list[int]:
+        self[a] = out = self.heads[self.starts[a] : self.starts[a + 1]].tolist()
+        return out
+
+
+def placed(x: int, state: int, near: dict[int, list[int]], side: dict[int, int], to: dict[int, int], reached: Reached) -> tuple[int, int]:
+    """``response`` for a vertex with a known ``state`` (-1: undetermined), by shorter ways for side 1.
+
+    One that is in all sets can be left open by a greatest matching that reaches the same, so it alone changes. An undetermined one can't: its partner and all that this reaches come in, as many as go.
+    """
+    if side[x] == 1 and state == 1:
+        return 1, 1
+    if side[x] == 0 or state != -1:
+        return response(x, near, side, to, reached)
+    gone, rows, owner = {x}, [to[x]], reached.owner
+    for u in rows:
+        for b in near[u]:
+            if b not in gone and b not in owner:
+                gone.add(b)
+                rows.append(to[b])
+    return len(gone) + len(rows), 0
+
+
+def site_responses(solved: DataFrame, edges: DataFrame, a_task: int = 20_000) -> DataFrame:
     """``(node, cluster, mis, changed, shift)`` for every vertex of ``ground``'s result ``solved`` and its ``edges(u, v)``.
 
     A vertex is forced to the other state and the greatest independent set of the rest, by the same rule as ``mis``, is compared: ``changed`` vertices differ, it is smaller by ``shift``. Forcing acts inside
-    one cluster alone. Clusters are dealt to tasks whole, small ones together; one with over ``a_task`` vertices is dealt several times, each with a part of its vertices to force, so
-    a task holds a cluster and the work on it is shared out. Empty tables give an empty result.
+    one cluster alone. Clusters are dealt to tasks whole, small ones together; one with over ``a_task`` vertices is dealt several times, each with a range of its vertices to force, so
+    a task holds a cluster, in arrays, and the work on it is shared out. Empty tables give an empty result.
     """
-    near = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    near = near.groupBy("node").agg(F.collect_set("other").alias("near"))
+    kind = dict(solved.dtypes)["cluster"]
     sizes = solved.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    rows = solved.select("node", "side", "cluster", "partner", "mis").join(near, "node", "left").join(sizes, "cluster")
-    small = F.pmod(F.xxhash64("cluster"), F.lit(max(1, solved.count() // (8 * a_task))))
-    copies = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / a_task).cast("int"))
-    dealt = rows.withColumn("part", F.explode(copies)).withColumn("task", F.when(F.col("n") <= a_task, small).otherwise(-1 - F.xxhash64("cluster").bitwiseAND((1 << 62) - 1)))
-    forced = F.pmod(F.xxhash64("node"), F.floor((F.col("n") - 1) / a_task) + 1) == F.col("part")
+    parts = F.floor((F.col("n") - 1) / a_task).cast("int") + 1
+    small = F.pmod(F.xxhash64("cluster"), F.lit(max(1, solved.count() // a_task)))
+    task = F.when(F.col("n") <= a_task, small).otherwise(-1 - F.xxhash64("cluster").bitwiseAND((1 << 62) - 1))
+    own = solved.select("node", "side", "cluster", "mis", F.coalesce("partner", "node").alias("partner"), F.coalesce("state", F.lit(-1)).alias("state")).join(sizes, "cluster")
+    own = written(own.select("node", "side", "cluster", "mis", "partner", "state", task.alias("task"), parts.alias("parts")))
+    place = ["task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "cluster"]
+    vertices = own.select(*place, F.col("node").alias("a"), F.col("partner").alias("b"), "side", "mis", "state")
+    ends = edges.select("u", "v").join(own.select(F.col("node").alias("u"), "task", "parts", "cluster"), "u")
+    ends = ends.select(*place, F.col("u").alias("a"), F.col("v").alias("b"), F.lit(-1).alias("side"), F.lit(0).alias("mis"), F.lit(0).alias("state"))
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
-        nodes = own["node"].tolist()
-        side, to = dict(zip(nodes, own["side"].tolist())), {n: int(p) for n, p in zip(nodes, own["partner"]) if not pd.isna(p)}
-        around = {n: sorted(int(m) for m in near) if near is not None else [] for n, near in zip(nodes, own["near"])}
-        out = []
-        for cluster, rows in own.groupby("cluster", sort=True):
-            members = rows["node"].tolist()
-            inside = dict(zip(members, rows["mis"].tolist()))
-            reached = Reached([n for n in members if side[n] == 0 and n not in to], around, to)
-            for n in rows["node"][rows["forced"]].tolist():
-                out.append((n, cluster, inside[n], *response(n, around, side, to, reached)))
-        return pd.DataFrame(out, columns=["node", "cluster", "mis", "changed", "shift"])
-
-    kind = dict(solved.dtypes)["cluster"]
-    work = dealt.withColumn("forced", forced).select("task", "part", "node", "side", "cluster", "partner", "mis", "near", "forced")
-    return work.groupBy("task", "part").applyInPandas(solve, f"node long, cluster {kind}, mis int, changed long, shift long")
+        part, parts = int(own["part"].iloc[0]), int(own["parts"].iloc[0])
+        a, b, side = (own[c].to_numpy() for c in ("a", "b", "side"))
+        at = np.flatnonzero(side >= 0)
+        at = at[np.argsort(a[at], kind="stable")]
+        nodes, n = a[at], len(at)
+        partner = np.searchsorted(nodes, b[at])
+        cluster, mis, state = (own[c].to_numpy()[at] for c in ("cluster", "mis", "state"))
+        u, v = np.searchsorted(nodes, a[side < 0]), np.minimum(np.searchsorted(nodes, b[side < 0]), n - 1)
+        known = nodes[v] == b[side < 0]
+        near = Near(*neighbours(n, u[known], v[known]))
+        open_ = partner == np.arange(n)
+        to = dict(zip(np.flatnonzero(~open_).tolist(), partner[~open_].tolist()))
+        side = side[at].astype(np.int8).tobytes()
+        reached = Reached([a for a in np.flatnonzero(open_).tolist() if side[a] == 0], near, to)
+        mine = range(part * n // parts, (part + 1) * n // parts)
+        found = np.array([placed(x, s, near, side, to, reached) for x, s in zip(mine, state[mine.start : mine.stop].tolist())], dtype=np.int64).reshape(-1, 2)
+        here = slice(mine.start, mine.stop)
+        return pd.DataFrame({"node": nodes[here], "cluster": cluster[here], "mis": mis[here], "changed": found[:, 0], "shift": found[:, 1]})
+
+    return vertices.unionByName(ends).groupBy("task", "part").applyInPandas(solve, f"node long, cluster {kind}, mis int, changed long, shift long")

@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from latticework.operators import digraph, lattice, pairing
+from latticework.operators import digraph, lattice, pairing, responses
 from latticework.operators.matching import frozen, greatest_matching, held, matched, neighbours
+from latticework.operators.responses import Near, Reached, placed, response
 
 
 def none(*_):
@@ -56,3 +57,37 @@ def test_large_parts_go_without_rounds(spark, monkeypatch):
     assert found.groupBy("component").count().where("count > 1").collect() == [(0, 60_001)] and found.count() == 60_301
     levels = digraph.levels(digraph.condensation(edges, found), None, parts)
     assert levels.where("node = 0").first()["level"] == 300 and levels.count() == 301
+
+
+def test_shorter_ways_of_responses_equal_the_general_one():
+    """The general way is tested against full solutions in ``test_decomposition``."""
+    seen = set()
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        on = np.flatnonzero(rng.random(64) < 0.7)
+        x, y = on % 8, on // 8
+        side = (x + y) % 2
+        a, b = ((abs(x[:, None] - x) + abs(y[:, None] - y) == 1) & (side[:, None] == 0)).nonzero()
+        starts, heads = neighbours(len(on), a, b)
+        to = matched(side, starts, heads)
+        state = held(to, starts, heads).tolist()
+        near, known = Near(starts, heads), {i: j for i, j in enumerate(to.tolist()) if j >= 0}
+        reached = Reached([i for i in range(len(on)) if side[i] == 0 and i not in known], near, known)
+        for i in range(len(on)):
+            assert placed(i, state[i], near, side.tolist(), known, reached) == response(i, near, side.tolist(), known, reached)
+            seen.add((int(side[i]), state[i]))
+    assert len(seen) == 6
+
+
+def test_a_cluster_is_dealt_once_a_range_of_its_sites(spark, monkeypatch):
+    """A ladder of 2 by 2,500 sites is one task's, not one a thousand sites; in four ranges it gives the same."""
+    made = []
+    monkeypatch.setattr(responses, "written", lambda df: made.append(df) or df)
+    own = spark.createDataFrame([(0, 5_000 * y + x, 0) for x in range(2_500) for y in range(2)], "sample_id int, site long, cluster long")
+    vertices, edges = lattice.bipartite_graph(own, 5_000)
+    solved = pairing.ground(vertices, edges)
+    whole, ranges = (responses.site_responses(solved, edges, *deal) for deal in ((), (1_300,)))
+    assert [d.agg(F.max("parts")).first()[0] for d in made] == [1, 4]
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    got = key(whole)
+    assert len(got) == 5_000 and key(ranges) == got
