@@ -91,3 +91,14 @@ def test_a_cluster_is_dealt_once_a_range_of_its_sites(spark, monkeypatch):
     key = lambda d: sorted(tuple(r) for r in d.collect())
     got = key(whole)
     assert len(got) == 5_000 and key(ranges) == got
+
+
+def test_the_matching_does_not_depend_on_the_order_of_rows(spark):
+    """A full lattice has many greatest matchings; the same one is found however its rows arrive."""
+    own = spark.range(64).select(F.lit(0).alias("sample_id"), F.col("id").alias("site"), F.lit(0).cast("long").alias("cluster"))
+    vertices, edges = lattice.bipartite_graph(own, 8)
+    found = []
+    for order in (F.col("node"), F.xxhash64("node")):
+        solved = pairing.ground(vertices.repartition(1).sortWithinPartitions(order), edges)
+        found.append({r["node"]: r["partner"] for r in solved.collect()})
+    assert found[0] == found[1] and None not in found[0].values()
